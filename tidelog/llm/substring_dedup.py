@@ -1,7 +1,7 @@
 """Substring de-duplication by sliding sentence spans.
 
-Sentences end at . ! ? or a line feed; one of more than LONG words is cut further after words chosen by their hash, so texts
-without punctuation are cut alike wherever they stand. A span is a run of `run` consecutive sentences, made longer until it
+Sentences end at . ! ? or a line feed; one of more than LONG words is cut further after words chosen by their hash and between equal
+words, so texts without punctuation are cut alike wherever they stand. A span is a run of `run` consecutive sentences, made longer until it
 has min_words words. The hashes of all spans meet globally; a sentence is removed if a span covers it that isn't the first
 of its hash, in order of (identifier, text hash, place).
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import shuffle_partitions, written
 from .words import _mix, range_hashes, slices, words_of
 
-LONG = 14
+LONG = 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?"), 10]] = True
 #: One span: hash, identifier, text hash, number of its first sentence.
@@ -41,11 +41,13 @@ def sentences_of(column: pa.Array, long: int = LONG):
     begin[w.first[:-1][np.diff(w.first) > 0]] = True
     begin[1:n] |= ends[w.start[1:]] > ends[w.start[:-1]]
     begin[n] = True
-    # long ones are cut after words whose hash says so
+    # long ones are cut after words whose hash says so, and between equal words
     starts = np.flatnonzero(begin)
     size = np.diff(starts)
     inner = np.repeat(size > long, size)
-    chosen = inner & ((_mix(w.hash + np.uint64(7)) & np.uint64(7)) == 0)
+    chosen = (_mix(w.hash + np.uint64(7)) & np.uint64(3)) == 0
+    chosen[:-1] |= w.hash[1:] == w.hash[:-1]
+    chosen &= inner
     begin[1:] |= chosen
     starts = np.flatnonzero(begin)
     return w, starts, np.searchsorted(starts, w.first)

@@ -53,15 +53,17 @@ def _csr(rows: list[np.ndarray], slot: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[at >= 0], at[at >= 0]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
-    """Trains from sets of hashed words. The features are the words most over-represented among the positives."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, confidence: float = 3.0, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
+    """Trains from sets of hashed words. The features are words over-represented among the positives by more
+    than `confidence` standard errors of their log ratio."""
     size = 1 << BITS
     slot = np.full(size, -1, np.int64)
     if not positive or not unlabelled:
         return Classifier(slot, np.zeros(0), -50.0)
     seen_p, seen_u = (np.bincount(np.concatenate(x), minlength=size) for x in (positive, unlabelled))
     lift = np.log((seen_p + 0.5) / (len(positive) + 1)) - np.log((seen_u + 0.5) / (len(unlabelled) + 1))
-    able = np.flatnonzero((seen_p >= max(3, len(positive) // 200)) & (lift > 0.3))
+    sure = lift - confidence * np.sqrt(1 / (seen_p + 0.5) + 1 / (seen_u + 0.5))
+    able = np.flatnonzero((seen_p >= 3) & (sure > 0))
     chosen = able[np.argsort(-lift[able], kind="stable")][:features]
     slot[chosen] = np.arange(len(chosen))
     n_p, n_u = len(positive), len(unlabelled)
