@@ -33,8 +33,9 @@ def roots(runs: DataFrame) -> DataFrame:
     while True:
         blocks = level.groupBy("run_id", "n", F.floor(F.col("pos") / WIDTH).alias("pos")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]).alias("nodes"))
         # a run of one block stops at one node; blocks of a longer run rise all 8 levels
-        fold = F.aggregate(F.sequence(F.lit(1), F.lit(STEP)), F.col("nodes"), lambda a, _: F.when((F.col("n") <= WIDTH) & (F.size(a) == 1), a).otherwise(_raise(a)))
-        level = blocks.select("run_id", F.when(F.col("n") <= WIDTH, 1).otherwise(F.ceil(F.col("n") / WIDTH)).cast("bigint").alias("n"), "pos", fold[0].alias("hash"))
+        up = lambda stop: F.aggregate(F.sequence(F.lit(1), F.lit(STEP)), F.col("nodes"), lambda a, _: F.when(F.size(a) == 1, a).otherwise(_raise(a)) if stop else _raise(a))[0]
+        folded = F.when(F.col("n") <= WIDTH, up(True)).otherwise(up(False))
+        level = blocks.select("run_id", F.greatest(F.lit(1), F.ceil(F.col("n") / WIDTH)).cast("bigint").alias("n"), "pos", folded.alias("hash"))
         if most <= WIDTH:
             return level.select("run_id", F.col("hash").alias("root"))
         most = -(-most // WIDTH)

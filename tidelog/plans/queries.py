@@ -289,7 +289,7 @@ def token_bucket(s, d):
 
 def flush_trace(s, d):
     rows = _log(s, d).select(F.substring("key", -1, 1).alias("store"), "key", "seq")
-    return stateful.flush_trace(rows, "store", "key", "seq", CONFIG.memtable_size, CONFIG.memtable_instances)
+    return stateful.flush_trace(rows, "store", "key", "seq", 2, CONFIG.memtable_instances)
 
 
 def bulk_load(s, d):
