@@ -191,7 +191,8 @@ def listed(found: Column) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
     base = F.filter("__spans", lambda c: c["base"])
-    counts = [F.size(F.filter("__spans", lambda c, k=k: c["base"] & (c["k"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("__spans", lambda c: c["base"] & (c["k"] == k)))
+    counts = [of_kind(k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return spans(docs.select(id_col, text_col), text_col).select(F.col(id_col).cast("long").alias("doc_id"), *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
 
 

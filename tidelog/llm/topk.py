@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str = "
     queries = written(rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "v").repartitionByRange(max(1, shuffle_partitions(spark)), "vec_id"), "queries")
     starts = _block_starts(queries, block_queries)
     parts = []
-    for low, high in zip(starts, [*starts[1:], None], strict=True):
+    for low, high in zip(starts, [*starts[1:], None], strict=False):
         part = queries.where(F.col("vec_id") >= low)
         block = (part if high is None else part.where(F.col("vec_id") < high)).toArrow()
         of = {d: (np.concatenate([i for i, _ in x]), np.concatenate([m for _, m in x])) for d, x in _by_dim(block).items()}
