@@ -6,7 +6,8 @@ has min_words words. The hashes of all spans meet globally; a sentence is remove
 of its hash, in order of (identifier, text hash, place).
 
 Each task of the scan keeps one row for a span hash it sees, its first, and knows the others to be repeats: so a span of a
-third of all texts sends a row for each task, not for each text. Spans go to their bucket as packed arrays.
+third of all texts has one open row for each task, not for each text. Spans go to their bucket as packed arrays, and from
+there, packed again, to their texts.
 
 Words are runs of bytes other than white space, A-Z as a-z. Null and empty texts have no spans and stay as they are. Equal
 rows (same identifier and text) are one place and don't remove each other's text. Extra columns stay.
@@ -25,8 +26,8 @@ from .words import _mix, range_hashes, slices, words_of
 LONG = 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?"), 10]] = True
-#: One span: hash, identifier, text hash, number of its first sentence.
-ROW = np.dtype([("h", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<i4"), ("e", "<i4")])
+#: One span: hash, identifier, text hash, number of its first sentence. A number below 0 is -1 - s of a known repeat.
+ROW = np.dtype([("h", "<u8"), ("d", "<i8"), ("t", "<u4"), ("s", "<i4")])
 
 
 def sentences_of(column: pa.Array, long: int = LONG):
@@ -66,35 +67,39 @@ def spans_of(column: pa.Array, run: int, min_words: int):
     return owner, range_hashes(w.hash, starts[i], starts[j]), i - first[owner], j - first[owner]
 
 
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["s"], rows["t"], rows["d"], rows["h"]))]
+
+
 def _scan(run: int, min_words: int, buckets: int):
-    """Rows (bucket, blob): firsts of this task by bucket; repeats known here have bucket -1."""
+    """Rows (bucket, blob): the firsts of this task, and marked the repeats that are known here already."""
 
     def scan(batches):
         kept = np.zeros(0, ROW)
         held, size = [], 0
 
         def settle(kept, held):
-            rows = np.concatenate([kept, *held])
-            rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"], rows["h"]))]
+            rows = _ordered(np.concatenate([kept, *held]))
             first = _firsts(rows)
             again = rows[~first & _later(rows, first)]
+            again["s"] = -1 - again["s"]
             return rows[first], again
 
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, h, s, e = spans_of(part.column("text"), run, min_words)
+                owner, h, s, _ = spans_of(part.column("text"), run, min_words)
                 rows = np.zeros(len(h), ROW)
-                rows["h"], rows["s"], rows["e"] = h, s, e
+                rows["h"], rows["s"] = h, s
                 rows["d"], rows["t"] = (part.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("id", "key"))
                 held.append(rows)
                 size += len(rows)
-                if size > 1 << 19:
+                if size > 1 << 18:
                     kept, again = settle(kept, held)
                     held, size = [], 0
-                    yield from _blobs(np.full(len(again), -1), again)
+                    yield from _blobs(again["h"] % np.uint64(buckets), again)
         kept, again = settle(kept, held)
-        yield from _blobs(np.full(len(again), -1), again)
-        yield from _blobs((kept["h"] % np.uint64(buckets)).astype(np.int64), kept)
+        rows = np.concatenate([kept, again])
+        yield from _blobs(rows["h"] % np.uint64(buckets), rows)
 
     return scan
 
@@ -110,55 +115,71 @@ def _later(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _blobs(bucket: np.ndarray, rows: np.ndarray):
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], rows[order]
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rows) else []
     if len(rows):
-        ends = [*at[1:], len(rows)]
-        yield pa.RecordBatch.from_pydict({"bucket": bucket[at], "blob": pa.array([rows[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order].astype(np.int64), rows[order]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        yield pa.RecordBatch.from_pydict({"bucket": bucket[at], "blob": pa.array([rows[a:b].tobytes() for a, b in zip(at, [*at[1:], len(rows)], strict=True)], pa.binary())})
+
+
+def _rows(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_py(), ROW) for x in table.column("blob")])
+
 
+def _meet(buckets: int):
+    """All spans of a bucket: those after the first of their hash repeat it. Packed again, by text."""
 
-def _repeats(batches):
-    """(id, key, at) of packed rows: the sentences covered, a row for each text."""
-    for batch in batches:
-        rows = np.concatenate([np.frombuffer(x, ROW) for x in batch.column("blob").to_pylist()] or [np.zeros(0, ROW)])
-        rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"]))]
-        new = np.flatnonzero(np.concatenate([[True], (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1])])[: len(rows)])
-        if len(rows):
-            pairs = np.stack([rows["s"], rows["e"]], 1).astype("<i4")
-            yield pa.RecordBatch.from_pydict({"of_id": rows["d"][new], "of_key": rows["t"][new], "at": pa.array([pairs[a:b].tobytes() for a, b in zip(new, [*new[1:], len(rows)], strict=True)], pa.binary())})
+    def run(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        known, open_ = rows[rows["s"] < 0], _ordered(rows[rows["s"] >= 0])
+        known["s"] = -1 - known["s"]
+        first = _firsts(open_)
+        again = np.concatenate([known, open_[~first & _later(open_, first)]])
+        found = list(_blobs(_mix(again["d"].astype(np.uint64) * np.uint64(31) + again["t"]) % np.uint64(buckets), again))
+        return pa.Table.from_batches(found) if found else pa.table({"bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
 
+    return run
 
-def _meet(table: pa.Table) -> pa.Table:
-    """All firsts of a bucket: those after the first of their hash repeat it."""
-    rows = np.concatenate([np.frombuffer(x, ROW) for x in table.column("blob").to_pylist()])
-    rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"], rows["h"]))]
-    first = _firsts(rows)
-    again = rows[~first & _later(rows, first)]
-    return pa.table({"bucket": pa.array([-1] if len(again) else [], pa.int64()), "blob": pa.array([again.tobytes()] if len(again) else [], pa.binary())})
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """A row for each text: the first sentences of its repeated spans."""
+    rows = _rows(table)
+    rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"]))]
+    new = np.flatnonzero(np.concatenate([[True], (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1])]))
+    at = [np.unique(rows["s"][a:b]).astype("<i4").tobytes() for a, b in zip(new, [*new[1:], len(rows)], strict=True)]
+    return pa.table({"of_id": np.ascontiguousarray(rows["d"][new]), "of_key": rows["t"][new].astype(np.int64), "at": pa.array(at, pa.binary())})
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __id and __key, which stand for a row's place in the order and its text."""
+    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__key", F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def covered(docs: DataFrame, run: int = 3, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(of_id, of_key, at): the repeated spans of each text that has any."""
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    found = written(rows.mapInArrow(_scan(run, min_words, buckets), "bucket long, blob binary"), "spans")
-    there = found.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "bucket long, blob binary")
-    here = found.where("bucket < 0")
-    kinds = "of_id long, of_key long, at binary"
-    return there.mapInArrow(lambda b: _repeats(b), "of_id long, of_key long, at binary").union(here.mapInArrow(lambda b: _repeats(b), kinds))
-
-
-def cut_text(column: pa.Array, spans: list[bytes]) -> tuple[list[str], list[int], list[int]]:
-    """(kept text, removed sentences, removed words) of each text."""
+    """(of_id, of_key, at): the first sentences of the repeated spans of each text that has any."""
+    partitions = shuffle_partitions(docs.sparkSession)
+    buckets = 2 * partitions
+    rows = _keyed(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, text_col).select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    packed = "bucket long, blob binary"
+    met = rows.mapInArrow(_scan(run, min_words, buckets), packed).groupBy("bucket").applyInArrow(_meet(partitions), packed)
+    return met.groupBy("bucket").applyInArrow(_by_text, "of_id long, of_key long, at binary")
+
+
+def cut_text(column: pa.Array, repeats: list[bytes | None], run: int, min_words: int) -> tuple[list[str], list[int], list[int]]:
+    """(kept text, removed sentences, removed words) of each text, from the first sentences of its repeated spans."""
     w, starts, first = sentences_of(column)
+    owner, _, begins_at, ends_at = spans_of(column, run, min_words)
+    of = np.searchsorted(owner, np.arange(len(repeats) + 1))
     texts, sentences, words = [], [], []
-    for i, blob in enumerate(spans):
+    for i, blob in enumerate(repeats):
         a, b = int(w.text_start[i]), int(w.text_start[i + 1])
         lo, hi = int(first[i]), int(first[i + 1])
         gone = np.zeros(hi - lo, bool)
-        for s, e in np.frombuffer(blob, "<i4").reshape(-1, 2):
-            gone[s:e] = True
+        if blob:
+            here = slice(of[i], of[i + 1])
+            at = np.searchsorted(begins_at[here], np.frombuffer(blob, "<i4"))
+            for s, e in zip(begins_at[here][at].tolist(), ends_at[here][at].tolist(), strict=True):
+                gone[s:e] = True
         raw = w.data[a:b].tobytes()
         if gone.any():
             begins = [a, *w.start[starts[lo + 1 : hi]].tolist(), b]  # what stands between sentences goes with that before
@@ -172,19 +193,18 @@ def cut_text(column: pa.Array, spans: list[bytes]) -> tuple[list[str], list[int]
 def dedup(docs: DataFrame, run: int = 3, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut, and removed_sentences and removed_words (0: nothing repeats)."""
     repeats = written(covered(docs, run, min_words, id_col, text_col), "repeats")
-    merged = repeats.groupBy("of_id", "of_key").agg(F.collect_list("at").alias("__spans"))
     names = docs.columns
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__key", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(merged, (F.col("__id") == F.col("of_id")) & (F.col("__key") == F.col("of_key")), "left").select(*names, "__spans")
+    keyed = _keyed(docs, id_col, text_col)
+    joined = keyed.join(repeats, (F.col("__id") == F.col("of_id")) & (F.col("__key") == F.col("of_key")), "left").select(*names, F.col("at").alias("__at"))
 
-    def run_(batches):
+    def cut(batches):
         for batch in batches:
             for part in slices(batch, text_col):
                 column = part.column(text_col)
-                texts, sentences, words = cut_text(column, [b"".join(x or []) for x in part.column("__spans").to_pylist()])
+                texts, sentences, words = cut_text(column, part.column("__at").to_pylist(), run, min_words)
                 texts = [None if m else t for t, m in zip(texts, column.is_null().to_pylist(), strict=True)]
                 cols = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sentences, pa.int32()), pa.array(words, pa.int32())], names=[*names, "removed_sentences", "removed_words"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_sentences int, removed_words int"
-    return joined.mapInArrow(run_, schema)
+    return joined.mapInArrow(cut, schema)
