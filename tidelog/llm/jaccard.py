@@ -6,9 +6,10 @@ hold come last, so lists of texts by prefix token stay short. Frequencies come f
 orders are by hash. Candidates meet under the first order; before sets are compared, they must pass the sizes, a bitmap
 bound on the symmetric difference, and share prefix tokens under the other orders too.
 
-Classes without all pairs: equal sequences are one representative. Of each list only pairs with its least member are
-compared at first; their components are found; then all pairs of a list that lie in different components. A pair left out
-lies in one component already, so components are exact.
+Classes without all pairs: equal sequences are one representative. Of each list only pairs with one member, its
+leader, are compared at first and their components found; then, for members and other components in the same list, the
+pair of nearest bitmaps; then all pairs of a list that still lie in different components. A pair left out lies in one
+component already, so components are exact.
 
 Lower-cases A-Z; words are runs of bytes other than space and \\t \\n \\v \\f \\r. Texts without words (null, empty) have size
 0 and stand alone. Texts are compared by 64-bit hashes of shingles. Rows that share an identifier are rows of their own and
@@ -31,7 +32,7 @@ from .words import _mix, range_hashes, shingles_of, slices, words_of
 SIZE = 5
 POSTING = np.dtype([("h", "<u8"), ("g", "<i8"), ("n", "<i4")])
 MEMBER = np.dtype([("g", "<i8"), ("n", "<i4")])
-MAP_WORDS = 8
+MAP_WORDS = 16
 SKETCH_BLOCK = 1 << 16
 _U = np.uint64
 _maps = [f"m{i}" for i in range(MAP_WORDS)]
@@ -48,7 +49,7 @@ def signatures(w) -> np.ndarray:
 
 def sketch_width(n_docs: int) -> int:
     """Counters of the sketch: by the number of texts, 2^24 at most (one byte each once merged)."""
-    return min(1 << 24, max(1 << 18, 1 << int(np.ceil(np.log2(16 * max(1, n_docs))))))
+    return min(1 << 24, max(1 << 18, 1 << int(np.ceil(np.log2(64 * max(1, n_docs))))))
 
 
 def _profile(width: int):
@@ -135,7 +136,8 @@ def _packed(rows: np.ndarray, buckets: int):
 
 
 def _lists(percent: int):
-    """Lists of representatives that share a prefix token, cut where sizes are too far apart; each list once."""
+    """Lists of representatives that share a prefix token, cut where sizes are too far apart; each list once. A list's
+    leader is the member that the bucket's lists hold most often: near copies of one text have most in common with it."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("blob")])
@@ -158,11 +160,14 @@ def _lists(percent: int):
             start, end = start[many], end[many]
             key = range_hashes(_mix(rows["g"].astype(_U)), start, end)
             _, at = np.unique(key, return_index=True)
+            known, place, often = np.unique(rows["g"], return_inverse=True, return_counts=True)
+            often = often[place]
+            leaders = [int(rows["g"][start[i] + often[start[i] : end[i]].argmax()]) for i in at]
             members = np.empty(len(rows), MEMBER)
             members["g"], members["n"] = rows["g"], rows["n"]
             blobs = [members[start[i] : end[i]].tobytes() for i in at]
-            return pa.table({"list": pa.array(key[at].astype(np.int64)), "m": pa.array((end - start)[at].astype(np.int32)), "members": pa.array(blobs, pa.binary())})
-        return pa.table({"list": pa.array([], pa.int64()), "m": pa.array([], pa.int32()), "members": pa.array([], pa.binary())})
+            return pa.table({"list": pa.array(key[at].astype(np.int64)), "m": pa.array((end - start)[at].astype(np.int32)), "leader": pa.array(leaders, pa.int64()), "members": pa.array(blobs, pa.binary())})
+        return pa.table({"list": pa.array([], pa.int64()), "m": pa.array([], pa.int32()), "leader": pa.array([], pa.int64()), "members": pa.array([], pa.binary())})
 
     return run
 
@@ -171,12 +176,12 @@ def _stars(percent: int):
     def run(batches):
         for batch in batches:
             out = []
-            for x in batch.column("members").to_pylist():
+            for x, leader in zip(batch.column("members").to_pylist(), batch.column("leader").to_pylist(), strict=True):
                 m = np.frombuffer(x, MEMBER)
-                k = int(m["g"].argmin())
-                rest = np.delete(m, k)
-                rest = rest[100 * np.minimum(rest["n"], m["n"][k]).astype(np.int64) >= percent * np.maximum(rest["n"], m["n"][k]).astype(np.int64)]
-                out.append(np.stack([np.full(len(rest), m["g"][k]), rest["g"]], 1))
+                own = m["g"] == leader
+                n, rest = int(m["n"][own][0]), m[~own]
+                rest = rest["g"][100 * np.minimum(rest["n"], n).astype(np.int64) >= percent * np.maximum(rest["n"], n).astype(np.int64)]
+                out.append(np.stack([np.minimum(rest, leader), np.maximum(rest, leader)], 1))
             if out:
                 pairs = np.unique(np.concatenate(out), axis=0)
                 yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -189,22 +194,33 @@ def _members(batches):
         rows = [np.frombuffer(x, MEMBER) for x in batch.column("members").to_pylist()]
         if rows:
             names = np.repeat(batch.column("list").to_numpy(), [len(x) for x in rows])
+            leaders = np.repeat(batch.column("leader").to_numpy(), [len(x) for x in rows])
             flat = np.concatenate(rows)
-            yield pa.RecordBatch.from_pydict({"list": names, "g": np.ascontiguousarray(flat["g"]), "n": np.ascontiguousarray(flat["n"])})
+            yield pa.RecordBatch.from_pydict({"list": names, "g": np.ascontiguousarray(flat["g"]), "n": np.ascontiguousarray(flat["n"]), "lead": flat["g"] == leaders})
 
 
-def _across(percent: int):
-    """Pairs of a list that lie in different components and haven't been compared."""
+def _across(percent: int, best: bool):
+    """Pairs of a list that lie in different components, haven't been compared with the leader, and pass the bitmaps. With
+    `best`, of a member's pairs with each other component only that of the nearest bitmap."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, n, c = (table.column(x).to_numpy() for x in ("g", "n", "c"))
+        g, n, c, lead = (table.column(x).to_numpy() for x in ("g", "n", "c", "lead"))
+        maps = np.stack([table.column(m).to_numpy() for m in _maps], 1)
         order = np.argsort(n, kind="stable")
-        g, n, c = g[order], n[order].astype(np.int64), c[order]
-        least, out = g.min(), []
+        g, n, c, lead, maps = g[order], n[order].astype(np.int64), c[order], lead[order], maps[order]
+        out = []
         top = np.searchsorted(percent * n, 100 * n, "right")  # sizes up to n * 100 / percent
-        for i in range(len(g) - 1):
+        for i in np.flatnonzero(~lead):
             j = np.arange(i + 1, top[i])
-            j = j[(c[j] != c[i]) & (g[j] != least)] if g[i] != least else j[:0]
+            j = j[(c[j] != c[i]) & ~lead[j]]
+            if not len(j):
+                continue
+            apart, total = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64), n[j] + n[i]
+            ok = (100 + percent) * (total - apart) >= 2 * percent * total
+            j, apart = j[ok], apart[ok]
+            if best and len(j) > 1:
+                near = np.lexsort((apart, c[j]))
+                j = j[near][np.concatenate([[True], np.diff(c[j][near]) != 0])]
             if len(j):
                 out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], 1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -251,7 +267,7 @@ class Join:
     def lists(self) -> DataFrame:
         buckets = 4 * shuffle_partitions(self.spark)
         posted = self.docs.mapInArrow(_post(self.levels, buckets, self.percent), "bucket long, blob binary")
-        lists = posted.groupBy("bucket").applyInArrow(_lists(self.percent), "list long, m int, members binary")
+        lists = posted.groupBy("bucket").applyInArrow(_lists(self.percent), "list long, m int, leader long, members binary")
         return written(lists.dropDuplicates(["list"]), "lists")
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -264,7 +280,7 @@ class Join:
         return joined.where((100 + self.percent) * (total - apart) >= 2 * self.percent * total).select("a", "b")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(self.plausible(pairs.distinct()), f"{name}-pairs")
+        """Links among pairs, a written table."""
         need = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
         of = written(need.join(self.reps, F.col("need") == F.col("sig")).select("sig", F.col("doc_id").alias("of_id")), f"{name}-need")
 
@@ -283,18 +299,25 @@ class Join:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links between representatives that join all classes, (node, component) over representatives)."""
         lists = self.lists()
-        stars = lists.select("members").mapInArrow(_stars(self.percent), "a long, b long")
-        first = self.verified(stars, "star")
-        known = written(components(first), "components")
-        members = written(lists.where("m > 2").select("list", "members").mapInArrow(_members, "list long, g long, n int"), "members")
-        marked = written(members.join(known, members["g"] == known["node"], "left").select("list", "g", "n", F.coalesce("component", "g").alias("c")), "marked")
-        open_ = written(marked.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("list").alias("of")), "open")
-        rest = marked.join(open_, marked["list"] == open_["of"]).select("list", "g", "n", "c")
-        second = self.verified(rest.groupBy("list").applyInArrow(_across(self.percent), "a long, b long"), "rest")
-        if second.isEmpty():
-            return first, known
-        every = first.union(second)
-        return every, written(components(every), "components")
+        stars = written(self.plausible(lists.select("leader", "members").mapInArrow(_stars(self.percent), "a long, b long").distinct()), "star-pairs")
+        links = self.verified(stars, "star")
+        known = written(components(links), "components")
+        members = written(lists.where("m > 2").select("list", "leader", "members").mapInArrow(_members, "list long, g long, n int, lead boolean"), "members")
+        maps = self.reps.select(F.col("sig").alias("of_sig"), *_maps)
+        tested = None
+        # first the likeliest pair of a member and another component of its list, then all that are still open
+        for best in (True, False):
+            marked = written(members.join(known, members["g"] == known["node"], "left").select("list", "g", "n", "lead", F.coalesce("component", "g").alias("c")), "marked")
+            open_ = written(marked.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("list").alias("of")), "open")
+            rest = marked.join(open_, marked["list"] == open_["of"]).join(maps, F.col("g") == F.col("of_sig")).select("list", "g", "n", "lead", "c", *_maps)
+            pairs = rest.groupBy("list").applyInArrow(_across(self.percent, best), "a long, b long").distinct()
+            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "rest-pairs")
+            tested = pairs
+            more = self.verified(pairs, "rest")
+            if not more.isEmpty():
+                links = links.union(more)
+                known = written(components(links), "components")
+        return links, known
 
     def classes(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row for each row of the input."""
