@@ -7,8 +7,8 @@ orders are by hash. Candidates meet under the first order; before sets are compa
 bound on the symmetric difference, and share prefix tokens under the other orders too.
 
 Classes without all pairs: equal sequences are one representative. Of each list only pairs with one member, its
-leader, are compared at first and their components found; then, for members and other components in the same list, the
-pair of nearest bitmaps; then all pairs of a list that still lie in different components. A pair left out lies in one
+leader, are compared at first and their components found; then, for each two components that a list holds, the pair of
+nearest bitmaps; then all pairs of a list that still lie in different components. A pair left out lies in one
 component already, so components are exact.
 
 Lower-cases A-Z; words are runs of bytes other than space and \\t \\n \\v \\f \\r. Texts without words (null, empty) have size
@@ -199,16 +199,22 @@ def _members(batches):
             yield pa.RecordBatch.from_pydict({"list": names, "g": np.ascontiguousarray(flat["g"]), "n": np.ascontiguousarray(flat["n"]), "lead": flat["g"] == leaders})
 
 
+def _nearest(found: np.ndarray) -> np.ndarray:
+    """Of the rows (component, other component, distance, text, text), that of the least distance for each two components."""
+    found = found[np.lexsort((found[:, 4], found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
+    return found[np.concatenate([[True], (np.diff(found[:, :2], axis=0) != 0).any(1)])]
+
+
 def _across(percent: int, best: bool):
     """Pairs of a list that lie in different components, haven't been compared with the leader, and pass the bitmaps. With
-    `best`, of a member's pairs with each other component only that of the nearest bitmap."""
+    `best`, for each two components only the pair of the nearest bitmaps."""
 
     def run(table: pa.Table) -> pa.Table:
         g, n, c, lead = (table.column(x).to_numpy() for x in ("g", "n", "c", "lead"))
         maps = np.stack([table.column(m).to_numpy() for m in _maps], 1)
         order = np.argsort(n, kind="stable")
         g, n, c, lead, maps = g[order], n[order].astype(np.int64), c[order], lead[order], maps[order]
-        out = []
+        out, size = [], 0
         top = np.searchsorted(percent * n, 100 * n, "right")  # sizes up to n * 100 / percent
         for i in np.flatnonzero(~lead):
             j = np.arange(i + 1, top[i])
@@ -218,13 +224,17 @@ def _across(percent: int, best: bool):
             apart, total = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64), n[j] + n[i]
             ok = (100 + percent) * (total - apart) >= 2 * percent * total
             j, apart = j[ok], apart[ok]
-            if best and len(j) > 1:
-                near = np.lexsort((apart, c[j]))
-                j = j[near][np.concatenate([[True], np.diff(c[j][near]) != 0])]
             if len(j):
-                out.append(np.stack([np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), apart, np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], 1))
+                size += len(j)
+            if best and size > 1 << 18:
+                out = [_nearest(np.concatenate(out))]
+                size = 0
+        if not out:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found = np.concatenate(out)
+        pairs = _nearest(found)[:, 3:] if best else np.unique(found[:, 3:], axis=0)
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
     return run
 
@@ -305,7 +315,7 @@ class Join:
         members = written(lists.where("m > 2").select("list", "leader", "members").mapInArrow(_members, "list long, g long, n int, lead boolean"), "members")
         maps = self.reps.select(F.col("sig").alias("of_sig"), *_maps)
         tested = None
-        # first the likeliest pair of a member and another component of its list, then all that are still open
+        # first the likeliest pair of two components of a list, then all that are still open
         for best in (True, False):
             marked = written(members.join(known, members["g"] == known["node"], "left").select("list", "g", "n", "lead", F.coalesce("component", "g").alias("c")), "marked")
             open_ = written(marked.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("list").alias("of")), "open")
