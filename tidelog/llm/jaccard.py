@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import shuffle_partitions, written
+from .shared import lean, shuffle_partitions, written
 from .words import _mix, range_hashes, shingles_of, slices, words_of
 
 SIZE = 5
 POSTING = np.dtype([("h", "<u8"), ("g", "<i8"), ("n", "<i4")])
 MEMBER = np.dtype([("g", "<i8"), ("n", "<i4")])
 MAP_WORDS = 16
+#: Postings that a task packs at once; bounds a worker's memory.
+POSTINGS = 1 << 20
 SKETCH_BLOCK = 1 << 16
 _U = np.uint64
 _maps = [f"m{i}" for i in range(MAP_WORDS)]
@@ -118,7 +120,7 @@ def _post(sent, buckets: int, percent: int):
                         row["h"], row["g"], row["n"] = h, g, len(s)
                         held.append(row)
                         size += len(h)
-                if size > 2_000_000:
+                if size > POSTINGS:
                     yield from _packed(np.concatenate(held), buckets)
                     held, size = [], 0
         if held:
@@ -265,7 +267,7 @@ class Join:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         width = sketch_width(self.docs.select(F.lit(1)).count())
         kinds = "doc_id long, sig long, n int, " + ", ".join(f"{m} long" for m in _maps) + ", block int, blob binary"
-        found = written(self.docs.mapInArrow(_profile(width), kinds), "profile")
+        found = written(self.docs.mapInArrow(lean(_profile(width)), kinds), "profile")
         self.rows = found.where("block < 0").select("doc_id", "sig", "n", *_maps)
         merged = found.where("block >= 0").select("block", "blob").groupBy("block").applyInArrow(_merge_sketch, "block int, level binary")
         levels = np.zeros(width, np.uint8)
@@ -276,7 +278,7 @@ class Join:
 
     def lists(self) -> DataFrame:
         buckets = 4 * shuffle_partitions(self.spark)
-        posted = self.docs.mapInArrow(_post(self.levels, buckets, self.percent), "bucket long, blob binary")
+        posted = self.docs.mapInArrow(lean(_post(self.levels, buckets, self.percent)), "bucket long, blob binary")
         lists = posted.groupBy("bucket").applyInArrow(_lists(self.percent), "list long, m int, leader long, members binary")
         return written(lists.dropDuplicates(["list"]), "lists")
 
@@ -300,11 +302,11 @@ class Join:
                     keep = signatures(words_of(part.column("text"))) == part.column("sig").to_numpy()
                     yield part.filter(pa.array(keep, pa.bool_()))
 
-        texts = self.docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_id"))).select("sig", "text").mapInArrow(same, "sig long, text string")
+        texts = self.docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_id"))).select("sig", "text").mapInArrow(lean(same), "sig long, text string")
         texts = written(texts.dropDuplicates(["sig"]), f"{name}-texts")
         side = lambda x: texts.select(F.col("sig").alias(x), F.col("text").alias(f"text_{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return written(both.mapInArrow(_verify(self.percent), "a long, b long"), f"{name}-links")
+        return written(both.mapInArrow(lean(_verify(self.percent)), "a long, b long"), f"{name}-links")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(links between representatives that join all classes, (node, component) over representatives)."""

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .words import LETTERS, _mix, slices, word_hash, words_of
 
 ORDER = 4
@@ -197,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(letter, np.array(m.langs, object)[best], "und"), pa.string()), pa.array(np.where(letter, share, 0.0))], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.select("*", F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias(lang_word), has_letter.alias("__letter")).mapInArrow(run, schema)
+    return docs.select("*", F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias(lang_word), has_letter.alias("__letter")).mapInArrow(lean(run), schema)
 
 
 def spark_model(docs: DataFrame, model):
