@@ -1,13 +1,14 @@
 """Adaptive context-mixing range coder for sequences of token ids below 65536.
 
 Ids are coded in blocks of BLOCK ids, each with a model and coder of its own, so a block can be read without any other and
-damage stays in it. All blocks of a call run side by side, one numpy lane each; the work of a step is shared by all lanes.
+damage stays in it. All blocks of a call run side by side, one numpy lane each; the work of a step is shared by all lanes,
+and the three orders of a step are the rows of one array.
 
 Model of a block: order 2, order 1 and order 0 each predict one id (that last confirmed after the two ids before, after the
 id before, and over all), with a confidence that grows as it proves right. The orders are mixed by Bayesian weights that
 follow their success. An id that is predicted costs its mixed probability; any other costs the rest of the probability and
-16 bits. The coder is a carry-less range coder of 64-bit state and 32-bit words. Only exact float operations are used, so
-results don't depend on the machine.
+16 bits. The coder is a carry-less range coder of 64-bit state and 32-bit words; a step puts out one word at most. Only
+exact float operations are used, so results don't depend on the machine.
 """
 
 from __future__ import annotations
@@ -17,201 +18,179 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-BITS_1, BITS_2 = 11, 12
+BLOCK = 2048
+BITS_1, BITS_2 = 10, 11
 TOTAL = 1 << 16
 _HEAD = struct.Struct("<III")  # ids, words, crc32 of the ids
-_U = np.uint64
-_TOP, _MASK = _U(32), _U(0xFFFFFFFF)
-#: Probability of a prediction that has been right n times in a row (0: nothing predicted).
-_RIGHT = np.array([0.0] + [(n + 0.2) / (n + 1.2) for n in range(1, 16)], np.float32) * np.float32(0.98)
-_RIGHT[1] = np.float32(0.35)
+_U, _W, _R = np.uint64, np.uint32, np.float32
+_WORD, _MASK, _MOST = _U(32), _U(0xFFFFFFFF), _U(1 << 32)
+#: Share of TOTAL that predictions may take; what they leave is for ids that no order predicts.
+_SHARE = _R(65000)
 
 
 class _Model:
+    """Rows of the arrays: order 2, order 1, order 0. An entry is an id and, in its low 4 bits, how sure it is (0: none)."""
+
     def __init__(self, lanes: int):
-        self.n = lanes
-        self.t1, self.t2 = np.zeros(lanes << BITS_1, np.uint32), np.zeros(lanes << BITS_2, np.uint32)
+        self.t1, self.t2 = np.zeros(lanes << BITS_1, _W), np.zeros(lanes << BITS_2, _W)
         self.base_1, self.base_2 = (np.arange(lanes, dtype=np.int64) << b for b in (BITS_1, BITS_2))
-        self.e0 = np.zeros(lanes, np.uint32)
-        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the id before, and that before it
-        self.w = [np.full(lanes, 1 / 3, np.float32) for _ in range(3)]
-
-    def predict(self):
-        """(ids predicted, their frequencies of TOTAL; what they leave is for any other id)."""
-        self.at_1 = self.base_1 + ((self.a * 40503 >> 5) & ((1 << BITS_1) - 1))
-        self.at_2 = self.base_2 + ((self.a * 60493 + self.b * 40503 * 7 >> 4) & ((1 << BITS_2) - 1))
-        self.e = [self.t2[self.at_2], self.t1[self.at_1], self.e0]
-        self.c = [(e >> 4).astype(np.int64) for e in self.e]
-        self.p = [_RIGHT[e & 15] for e in self.e]
-        f2, f1, f0 = ((w * p * np.float32(65000)).astype(np.int64) for w, p in zip(self.w, self.p, strict=True))
-        c2, c1, c0 = self.c
-        same = c1 == c2
-        f2 += f1 * same
-        f1 *= ~same
-        same_2, same_1 = c0 == c2, c0 == c1
-        f2 += f0 * same_2
-        f1 += f0 * (same_1 & ~same_2)
-        f0 *= ~(same_2 | same_1)
-        return (c2, c1, c0), (f2, f1, f0)
+        self.entries, self.weights = np.zeros((3, lanes), _W), np.full((3, lanes), 1 / 3, _R)
+        self.near, self.far = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # hashes of the id before, and of that before it
+        self.at_1, self.at_2 = self.base_1.copy(), self.base_2.copy()
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids predicted, their frequencies of TOTAL, the sums of those up to each row). An id that several orders predict
+        stands once, in the first of them."""
+        e = self.entries
+        np.take(self.t2, self.at_2, out=e[0], mode="clip")
+        np.take(self.t1, self.at_1, out=e[1], mode="clip")
+        self.ids, self.sure = ids, n = e >> _W(4), e & _W(15)
+        p = n.astype(_R)
+        p /= p + _R(1.3)
+        self.p = p
+        f = p * self.weights
+        f *= _SHARE
+        f = f.astype(_W)
+        moved = f[1:] & -(ids[1:] == ids[0]).astype(_W)
+        f[1:] -= moved
+        f[0] += moved[0]
+        f[0] += moved[1]
+        moved = f[2] & -(ids[2] == ids[1]).astype(_W)
+        f[2] -= moved
+        f[1] += moved
+        sums = f.copy()
+        sums[1] += sums[0]
+        sums[2] += sums[1]
+        return ids, f, sums
 
     def update(self, x: np.ndarray) -> None:
-        total, new = np.zeros(self.n, np.float32), []
-        for k in range(3):
-            right = x == self.c[k]
-            p = self.p[k]
-            w = self.w[k] * (p * right + (np.float32(1) - p) * np.float32(1 / 65536))
-            new.append(w)
-            total += w
-            n = self.e[k] & np.uint32(15)
-            # right: surer; wrong: less sure, and replaced when no longer sure
-            e = np.where(right & (n > 0), (self.e[k] & ~np.uint32(15)) | np.minimum(n + np.uint32(1), np.uint32(15)), np.where(n > 2, self.e[k] - (n >> np.uint32(1)), (x.astype(np.uint32) << np.uint32(4)) | np.uint32(1)))
-            if k == 0:
-                self.t2[self.at_2] = e
-            elif k == 1:
-                self.t1[self.at_1] = e
-            else:
-                self.e0 = e
-        share = np.float32(0.97) / total
-        self.w = [w * share + np.float32(0.01) for w in new]
-        self.b, self.a = self.a, x
-
-
-class _Coder:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-
-    def narrow(self, low, size, start, width):
-        size = size >> _U(16)
-        return low + start.astype(_U) * size, size * width.astype(_U)
-
-    @staticmethod
-    def settle(low, size):
-        """(places that put out a word, new low, new size); at most one word for each step."""
-        agree = (low ^ (low + (size - _U(1)))) >> _TOP == 0
-        short = ~agree & (size < _U(1 << 32))
-        size = np.where(short, (_U(0) - low) & _MASK, size)
-        return np.flatnonzero(agree | short), size
-
-
-def _lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix of blocks by rows, lengths)."""
-    n = -(-len(ids) // BLOCK)
-    full = np.zeros(n * BLOCK, np.int64)
-    full[: len(ids)] = ids
-    lengths = np.full(n, BLOCK)
-    if n:
-        lengths[-1] = len(ids) - (n - 1) * BLOCK
-    return full.reshape(n, BLOCK), lengths
+        e, n, p, w = self.entries, self.sure, self.p, self.weights
+        right = self.ids == x
+        # what each order gave the id: its own prediction and a flat share of the rest
+        given = p * _R(-1 / 65536)
+        given += _R(1 / 65536)
+        given += p * right
+        w *= given
+        total = w[0] + w[1]
+        total += w[2]
+        w *= _R(0.97) / total
+        w += _R(0.01)
+        # right: surer; wrong: less sure, and replaced when no longer sure
+        wrong = np.where(n > 2, e - (n >> _W(1)), (x << _W(4)) | _W(1))
+        new = np.where(right, e + (n < 15), wrong)
+        self.t2[self.at_2], self.t1[self.at_1] = new[0], new[1]
+        self.entries = new
+        self.far, self.near = self.near, x * np.int64(2654435761)
+        at = self.near >> 11
+        at &= (1 << BITS_1) - 1
+        np.add(at, self.base_1, out=self.at_1)
+        self.far *= 3
+        at = self.near + self.far
+        at >>= 12
+        at &= (1 << BITS_2) - 1
+        np.add(at, self.base_2, out=self.at_2)
+
+
+def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the first word of low stands fast; a range that is short but has no such word is cut at the next word."""
+    last = low + size
+    last -= _U(1)
+    last ^= low
+    agree = last < _MOST
+    short = size < _MOST
+    np.copyto(size, (_U(0) - low) & _MASK, where=short > agree)
+    return short | agree
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
     """Coded blocks of up to BLOCK ids each."""
-    if len(ids) and int(ids.max()) >= TOTAL:
-        raise ValueError("ids must be below 65536")
-    x, lengths = _lanes(ids)
-    lanes = len(x)
-    if not lanes:
+    if not len(ids):
         return []
-    columns = np.ascontiguousarray(x.T)
-    model, coder = _Model(lanes), _Coder(lanes)
-    words, used = np.zeros((lanes, 2 * BLOCK + 4), np.uint32), np.zeros(lanes, np.int64)
-    low, size = coder.low, coder.range
-    one = np.ones(lanes, np.int64)
-
-    def put(low, size, at):
-        who, size = coder.settle(low[at] if at is not None else low, size[at] if at is not None else size)
-        return who, size
-
-    for t in range(BLOCK):
+    if int(ids.max()) >= TOTAL:
+        raise ValueError("ids must be below 65536")
+    lanes = -(-len(ids) // BLOCK)
+    x = np.zeros(lanes * BLOCK, _W)
+    x[: len(ids)] = ids
+    x = x.reshape(lanes, BLOCK)
+    lengths = [BLOCK] * (lanes - 1) + [len(ids) - (lanes - 1) * BLOCK]
+    columns, model = np.ascontiguousarray(x.T), _Model(lanes)
+    low, size = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    width = BLOCK + 3
+    words, place = np.zeros(lanes * width, _W), np.arange(lanes) * width
+
+    def ended(lane: int) -> bytes:
+        at, n = lane * width, int(place[lane]) - lane * width
+        row = np.append(words[at : at + n], np.array([low[lane] >> _WORD, low[lane] & _MASK], _W))
+        return _HEAD.pack(lengths[lane], n + 2, zlib.crc32(x[lane, : lengths[lane]].astype("<u4").tobytes())) + row.astype("<u4").tobytes()
+
+    for t in range(max(lengths)):
         now = columns[t]
-        (c2, c1, c0), (f2, f1, f0) = model.predict()
-        is_2, is_1, is_0 = (now == c2) & (f2 > 0), (now == c1) & (f1 > 0), (now == c0) & (f0 > 0)
-        s1, s2 = f2 + f1, f2 + f1 + f0
-        start = np.where(is_2, 0, np.where(is_1, f2, np.where(is_0, s1, s2)))
-        width = np.where(is_2, f2, np.where(is_1, f1, np.where(is_0, f0, TOTAL - s2)))
-        low, size = coder.narrow(low, size, start, width)
-        who, size = put(low, size, None)
-        words[who, used[who]] = low[who] >> _TOP
-        used[who] += 1
-        low[who] <<= _TOP
-        size[who] <<= _TOP
-        other = np.flatnonzero(~(is_2 | is_1 | is_0))
-        if len(other):
-            l, s = coder.narrow(low[other], size[other], now[other], one[: len(other)])
-            who, s = coder.settle(l, s)
-            lane = other[who]
-            words[lane, used[lane]] = l[who] >> _TOP
-            used[lane] += 1
-            l[who] <<= _TOP
-            s[who] <<= _TOP
-            low[other], size[other] = l, s
+        predicted, f, sums = model.predict()
+        hit = predicted == now
+        f *= hit
+        own = f[0] + f[1]
+        own += f[2]
+        known = own > 0
+        sums[:2] *= f[1:] > 0  # the sum before the id's own row
+        begin = sums[0] + sums[1]
+        rest = _W(TOTAL) - sums[2]
+        other = now * rest.astype(_U)
+        other += sums[2].astype(_U) << _U(16)
+        start = np.where(known, begin.astype(_U) << _U(16), other)
+        step = size >> _WORD
+        low += start * step
+        size = step * np.where(known, own << _W(16), rest)
+        out = _settle(low, size)
+        words[place] = low >> _WORD
+        place += out
+        out = out.astype(_U) << _U(5)
+        low <<= out
+        size <<= out
         model.update(now)
-        if t + 1 == lengths[-1] < BLOCK:  # the last block ends here; what follows in its lane isn't kept
-            _flush(words, used, low, lanes - 1)
-            last = words[-1, : used[-1]].copy()
-    if lengths[-1] == BLOCK:
-        _flush(words, used, low, lanes - 1)
-        last = words[-1, : used[-1]].copy()
-    out = []
-    for k in range(lanes):
-        if k < lanes - 1:
-            _flush(words, used, low, k)
-        row = words[k, : used[k]] if k < lanes - 1 else last
-        out.append(_HEAD.pack(int(lengths[k]), len(row), zlib.crc32(x[k, : lengths[k]].astype("<u4").tobytes())) + row.astype("<u4").tobytes())
-    return out
-
-
-def _flush(words, used, low, k) -> None:
-    words[k, used[k]], words[k, used[k] + 1] = low[k] >> _TOP, low[k] & _MASK
-    used[k] += 2
+        if t + 1 == lengths[-1]:  # the last block may end first; what follows in its lane isn't kept
+            last = ended(lanes - 1)
+    return [ended(k) for k in range(lanes - 1)] + [last]
 
 
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of coded blocks; checks each block's checksum."""
     if not blocks:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, _W)
     heads = [_HEAD.unpack_from(b) for b in blocks]
-    lanes, most = len(blocks), max(n for _, n, _ in heads)
-    words = np.zeros((lanes, most + 4), np.uint32)
+    lanes, steps = len(blocks), max(n for n, _, _ in heads)
+    width = max(max(n for _, n, _ in heads), steps) + 3  # a lane reads one word a step at most
+    words = np.zeros((lanes, width), _W)
     for k, (b, (_, n, _)) in enumerate(zip(blocks, heads, strict=True)):
         words[k, :n] = np.frombuffer(b, "<u4", n, _HEAD.size)
-    lengths = np.array([n for n, _, _ in heads])
-    model, coder = _Model(lanes), _Coder(lanes)
-    low, size = coder.low, coder.range
-    code = (words[:, 0].astype(_U) << _TOP) | words[:, 1]
-    used = np.full(lanes, 2)
-    out = np.zeros((int(lengths.max()), lanes), np.int64)
-    flat, width_of = words.ravel(), words.shape[1]
-    base = np.arange(lanes) * width_of
-    one = np.ones(lanes, np.int64)
-    for t in range(len(out)):
-        (c2, c1, c0), (f2, f1, f0) = model.predict()
-        s1, s2 = f2 + f1, f2 + f1 + f0
-        v = np.minimum((code - low) // (size >> _U(16)), _U(TOTAL - 1)).astype(np.int64)
-        is_2, in_1, in_0 = v < f2, v < s1, v < s2
-        now = np.where(is_2, c2, np.where(in_1, c1, c0))
-        start = np.where(is_2, 0, np.where(in_1, f2, np.where(in_0, s1, s2)))
-        width = np.where(is_2, f2, np.where(in_1, f1, np.where(in_0, f0, TOTAL - s2)))
-        low, size = coder.narrow(low, size, start, width)
-        who, size = coder.settle(low, size)
-        low[who] <<= _TOP
-        size[who] <<= _TOP
-        code[who] = (code[who] << _TOP) | flat[base[who] + np.minimum(used[who], width_of - 1)]
-        used[who] += 1
-        other = np.flatnonzero(~in_0)
-        if len(other):
-            l, s, c = low[other], size[other], code[other]
-            x = np.minimum((c - l) // (s >> _U(16)), _U(TOTAL - 1)).astype(np.int64)
-            now[other] = x
-            l, s = coder.narrow(l, s, x, one[: len(other)])
-            who, s = coder.settle(l, s)
-            lane = other[who]
-            l[who] <<= _TOP
-            s[who] <<= _TOP
-            c[who] = (c[who] << _TOP) | flat[base[lane] + np.minimum(used[lane], width_of - 1)]
-            used[lane] += 1
-            low[other], size[other], code[other] = l, s, c
+    model = _Model(lanes)
+    low, size = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
+    code = (words[:, 0].astype(_U) << _WORD) | words[:, 1]
+    flat, place = words.ravel(), np.arange(lanes) * width + 2
+    out = np.zeros((steps, lanes), _W)
+    for t in range(steps):
+        predicted, f, sums = model.predict()
+        step = size >> _WORD
+        v = code - low
+        v //= step
+        v = np.minimum(v, _MASK).astype(_W)
+        high = v >> _W(16)
+        in_2, in_1, known = high < sums[0], high < sums[1], high < sums[2]
+        rest = _W(TOTAL) - sums[2]
+        other = v - (sums[2] << _W(16))
+        other //= rest
+        now = np.where(known, np.where(in_2, predicted[0], np.where(in_1, predicted[1], predicted[2])), other)
+        begin = np.where(in_2, _W(0), np.where(in_1, sums[0], sums[1])) << _W(16)
+        start = np.where(known, begin, (sums[2] << _W(16)) + now * rest)
+        own = np.where(in_2, f[0], np.where(in_1, f[1], f[2])) << _W(16)
+        low += start * step
+        size = step * np.where(known, own, rest)
+        fast = _settle(low, size)
+        more = flat[place]
+        place += fast
+        fast = fast.astype(_U) << _U(5)
+        low <<= fast
+        size <<= fast
+        code = np.where(fast, (code << _WORD) | more, code)
         model.update(now)
         out[t] = now
     rows = []

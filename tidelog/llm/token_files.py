@@ -27,7 +27,7 @@ MAGIC = b"TDTK0001"
 _BLOCK = struct.Struct("<III")
 _FOOT = struct.Struct("<QQQ")
 #: Ids that are coded side by side; bounds a worker's memory.
-GROUP = 1536 * coder.BLOCK
+GROUP = 4096 * coder.BLOCK
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, local long, n_tokens long, ids_crc32 long, part long"
 

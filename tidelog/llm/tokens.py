@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -26,6 +26,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Places(dict):
+    """Piece -> place; a new piece gets the next place and waits in fresh to be learned."""
+
+    def __init__(self, known: dict, fresh: list, lead: str, first: int):
+        super().__init__(known)
+        self.fresh, self.lead, self.offset = fresh, lead, first
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = self.offset + len(self.fresh)
+        self.fresh.append(piece if piece[:1] == "\n" else self.lead + piece)
+        return at
+
+
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,55 +47,64 @@ class Encoder:
         self.library = Tokenizer.from_file(path or default_path())
         self.library.encode_special_tokens = True
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        #: Tokens that begin with the byte of a space or a line feed; in a row of pieces they begin a piece.
+        self.opens = np.zeros(max(self.library.get_vocab(True).values()) + 1, bool)
+        self.opens[[i for t, i in self.library.get_vocab(True).items() if t[:1] in "\u0120\u010a"]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.firsts: dict[str, int] = {"": 1}  # pieces at a text's start, without the space before
-        self.pieces: dict[str, int] = {}
-        #: Piece 0 is the end of a document, piece 1 is empty.
+        #: Place 0 is the end of a document, place 1 is empty.
         self.ids, self.starts, self.sizes = array("I", [END]), array("q", [0, 1]), array("i", [1, 0])
-
-    def _learn(self, missing: set[str], into: dict[str, int], lead: str) -> None:
-        safe = []
-        for p in missing:
-            body = p[1:] if lead and p[:1] == "\n" else p
-            if body and (len(body.split()) == 1 and not body[0].isspace() and not body[-1].isspace()):
-                safe.append(p)
-            else:
-                into[p] = -1
-        for p, x in zip(safe, self.batch([p if p[0] == "\n" else lead + p for p in safe], add_special_tokens=False), strict=True):
-            into[p] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.sizes.append(len(x.ids))
-            self.ids.extend(x.ids)
-
-    def _places(self, text: str):
+        self.fresh: list[str] = []
+        self.firsts = _Places({"": 1}, self.fresh, "", 2)  # pieces at a text's start, without the space before
+        self.pieces = _Places({}, self.fresh, " ", 2)
+
+    @staticmethod
+    def _safe(piece: str) -> bool:
+        """Whether a piece is one run of visible characters after at most one space or line feed."""
+        body = piece[1:] if piece[:1] in (" ", "\n") else piece
+        return body.isalnum() or (len(body.split()) == 1 and not body[0].isspace() and not body[-1].isspace())
+
+    def _learn(self) -> None:
+        """Encodes the fresh pieces; one that isn't safe gets size -1, and texts that hold it are encoded whole."""
+        safe = [self._safe(p) for p in self.fresh]
+        found: list = [None] * len(self.fresh)
+        led = [i for i, (p, ok) in enumerate(zip(self.fresh, safe, strict=True)) if ok and p[0] in " \n"]
+        for k in range(0, len(led), 4096):
+            some = led[k : k + 4096]
+            ids = self.batch(["".join(self.fresh[i] for i in some)], add_special_tokens=False)[0].ids
+            opens = np.flatnonzero(self.opens[ids]).tolist() if ids else []
+            if len(opens) == len(some):
+                for i, a, b in zip(some, opens, [*opens[1:], len(ids)], strict=True):
+                    found[i] = ids[a:b]
+        rest = [i for i, ok in enumerate(safe) if ok and found[i] is None]
+        for i, x in zip(rest, self.batch([self.fresh[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = x.ids
+        sizes = [-1 if x is None else len(x) for x in found]
+        ends = np.maximum(np.array(sizes, np.int64), 0).cumsum() + len(self.ids)
+        self.starts.extend((ends - np.maximum(sizes, 0)).tolist())
+        self.sizes.extend(sizes)
+        self.ids.extend(chain.from_iterable(x for x in found if x))
+        self.fresh.clear()
+        self.firsts.offset = self.pieces.offset = len(self.starts)
+
+    def _places(self, text: str) -> list[int]:
         parts = text.replace("\n", " \n").split(" ")
-        first, rest = parts[0], parts[1:]
-        return [self.firsts.get(first), *map(self.pieces.get, rest)], first, rest
+        return [self.firsts[parts[0]], *map(self.pieces.__getitem__, islice(parts, 1, None)), 0]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets by text); every text is followed by END. Null as empty."""
         if len(self.pieces) + len(self.firsts) > MOST_PIECES:
             self._forget()
-        found = [self._places(t) if t else ([1], "", []) for t in texts]
-        first_misses, misses = set(), set()
-        again = [i for i, (at, _, _) in enumerate(found) if None in at]
-        for i in again:
-            at, first, rest = found[i]
-            if at[0] is None:
-                first_misses.add(first)
-            misses.update(p for p, k in zip(rest, at[1:], strict=True) if k is None)
-        self._learn(first_misses, self.firsts, "")
-        self._learn(misses, self.pieces, " ")
-        for i in again:
-            _, first, rest = found[i]
-            found[i] = ([self.firsts[first], *map(self.pieces.get, rest)], first, rest)
-        whole = {i for i, (at, _, _) in enumerate(found) if -1 in at}
-        places = np.fromiter(chain.from_iterable((0,) if i in whole else chain(at, (0,)) for i, (at, _, _) in enumerate(found)), np.int64)
-        lengths = np.array([0 if i in whole else len(at) for i, (at, _, _) in enumerate(found)], np.int64) + 1
+        found = [self._places(t) if t else [1, 0] for t in texts]
+        if self.fresh:
+            self._learn()
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        places = np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))
         ids, starts, sizes = np.array(self.ids, np.uint32), np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
         size = sizes[places]
+        whole = set(np.searchsorted(lengths.cumsum(), np.flatnonzero(size < 0), "right").tolist())
+        size = np.maximum(size, 0)
         ends = np.cumsum(size)
         out = ids[np.repeat(starts[places] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         offsets = np.concatenate([[0], ends[np.cumsum(lengths) - 1]]) if len(texts) else np.zeros(1, np.int64)
