@@ -195,6 +195,20 @@ def test_classes_against_brute_force(spark, prose):
     assert got == brute_classes(rows)
 
 
+def test_links_without_the_leader(spark):
+    """Pairs that link with each other alone, among many texts that share their prefix tokens."""
+    rows = []
+    for f in range(4):
+        base = [f"w{f}x{k}" for k in range(200)]
+        for at in range(0, 181, 10):
+            for _ in range(2):
+                i = len(rows)
+                rows.append((i, " ".join(base[:at] + [f"own{i}x{k}" for k in range(20)] + base[at + 20 :])))
+    want = brute_classes(rows)
+    assert all(c == i - i % 2 for i, _, c in want)
+    assert sorted(tuple(r) for r in jaccard.classes(docs(spark, rows)).collect()) == want
+
+
 def test_no_documents(spark):
     assert jaccard.classes(docs(spark, [])).count() == 0
 

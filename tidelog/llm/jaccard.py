@@ -213,7 +213,7 @@ def _across(percent: int, best: bool):
 
     def run(table: pa.Table) -> pa.Table:
         g, n, c, lead = (table.column(x).to_numpy() for x in ("g", "n", "c", "lead"))
-        maps = np.stack([table.column(m).to_numpy() for m in _maps], 1)
+        maps = np.stack([table.column(m).to_numpy() for m in _maps], 1).view(_U)  # of signed values numpy counts the bits of the absolute one
         order = np.argsort(n, kind="stable")
         g, n, c, lead, maps = g[order], n[order].astype(np.int64), c[order], lead[order], maps[order]
         out, size = [], 0
