@@ -20,10 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: that with the least identifier."""
-    classes = jaccard.classes(docs.select("doc_id", "text"))
-    gone = classes.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of each class of near copies stays: that with the least identifier. Rows may share an identifier or have none."""
+    return jaccard.distinct(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

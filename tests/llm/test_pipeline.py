@@ -16,3 +16,14 @@ def test_stages(spark, prose, tmp_path):
     assert {r["doc_id"] for r in got} == set(kept)
     e = Encoder()
     assert sum(r["length"] for r in got) == sum(len(e.encode([t])[0]) for t in kept.values())
+
+
+def test_near_duplicates_by_row(spark, prose):
+    """Rows that share an identifier, or have none, are told apart by their texts."""
+    a, b, c, d, e = (prose(i, 60) for i in (300, 301, 302, 303, 304))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c.upper()), (None, d), (None, d), (None, a), (4, d + " more"), (None, e), (None, e), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    want = [(1, a), (2, b), (3, c.upper()), (4, d + " more"), (None, e), (5, None), (5, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}

@@ -331,10 +331,14 @@ class Join:
                 known = written(components(links), "components")
         return links, known
 
+    def labels(self) -> DataFrame:
+        """(sig, least doc_id, component) over representatives."""
+        _, known = self.links()
+        return written(self.reps.join(known, self.reps["sig"] == known["node"], "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("c")), "label")
+
     def classes(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row for each row of the input."""
-        _, known = self.links()
-        label = written(self.reps.join(known, self.reps["sig"] == known["node"], "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("c")), "label")
+        label = self.labels()
         least = written(label.groupBy(F.col("c").alias("of")).agg(F.min("doc_id").alias("component_id")), "least-id")
         by_sig = written(label.join(least, label["c"] == least["of"]).select(F.col("sig").alias("of_sig"), "component_id"), "by-sig")
         rows = self.rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
@@ -343,3 +347,30 @@ class Join:
 
 def classes(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return Join(docs, percent, id_col, text_col).classes()
+
+
+def distinct(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class: that of the least identifier (rows without one last), then of the least word-sequence
+    signature, then of the least columns. Rows are told apart by identifier and signature. Rows without words all stay."""
+    join = Join(docs, percent, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("k")
+    keep = written(join.labels().groupBy("c").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.sig").alias("keep_sig")), "keep")
+    many = written(join.rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id IS NULL OR rows > 1").select(F.col("doc_id").alias("gone")), "many")
+    gone = join.rows.where("n > 0").join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col("sig") == F.col("keep_sig")), "left_anti").select(F.col("doc_id").alias("gone"))
+    own = docs[id_col].cast("long")
+    once = docs.join(written(gone.union(many).distinct(), "gone"), own.eqNullSafe(F.col("gone")), "left_anti")
+    if many.isEmpty():
+        return once
+    shared, names = docs.join(many, own.eqNullSafe(F.col("gone")), "left_semi"), docs.columns
+
+    def signed(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                w = words_of(part.column(text_col))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signatures(w)), pa.array(np.diff(w.first) > 0)], names=[*names, "__sig", "__words"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __sig long, __words boolean"
+    marked = written(shared.mapInArrow(lean(signed), kinds), "shared")
+    kept = marked.where("__words").join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__sig") == F.col("keep_sig")))
+    kept = kept.groupBy("keep_id", "keep_sig").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return once.union(kept).union(marked.where("NOT __words").select(*names))
