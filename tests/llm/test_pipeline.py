@@ -27,3 +27,11 @@ def test_near_duplicates_by_row(spark, prose):
     want = [(1, a), (2, b), (3, c.upper()), (4, d + " more"), (None, e), (5, None), (5, "")]
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(want, key=repr)
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_texts_of_no_learned_language_go(spark, prose):
+    rows = [(i, prose(i, 60), "en", "s", 0) for i in range(40)] + [(50, "xq zvw qqk wvx pqz jjx", None, "s", 0), (51, "mi huomenna menemme metsaan katsomaan lintuja", None, "s", 0), (52, "river stonely thorning heathstone", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {r["doc_id"] for r in got.collect()} == {*range(40), 52}

@@ -153,8 +153,15 @@ def unseen_scores(model: Model, words: list[bytes] | None, data: np.ndarray, sta
 
 def score_batch(model: Model, column: pa.Array) -> np.ndarray:
     """Sum of word scores by text and language."""
+    return scores_and_lengths(model, column)[0]
+
+
+def scores_and_lengths(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of word scores by text and language; each text's characters within words, and one more for each word's end."""
     w = words_of(column, LETTERS)
     got = _find(model.words, w.hash)
+    chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    ends = np.concatenate([[0], np.cumsum(chars[w.end] - chars[w.start] + 1)])
     rows = np.zeros((len(w.hash) + 1, len(model.langs)))
     known = np.flatnonzero(got >= 0)
     rows[known] = model.word_scores[got[known]]
@@ -164,7 +171,7 @@ def score_batch(model: Model, column: pa.Array) -> np.ndarray:
         rows[new] = unseen_scores(model, None, w.data, w.start[new][at], w.end[new][at])[back]
     total = np.zeros((len(w.hash) + 1, len(model.langs)))
     np.cumsum(rows[:-1], axis=0, out=total[1:])
-    return total[w.first[1:]] - total[w.first[:-1]]
+    return total[w.first[1:]] - total[w.first[:-1]], ends[w.first[1:]] - ends[w.first[:-1]]
 
 
 def train(docs: DataFrame, max_documents: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -178,11 +185,11 @@ def train(docs: DataFrame, max_documents: int = 20_000, id_col: str = "doc_id",
     return fit(list(counts.sort_values(["lang", "word"]).itertuples(index=False, name=None))) if len(counts) else None
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    names = docs.columns
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", mean: bool = False) -> DataFrame:
+    """docs with lang_pred and score; with `mean`, also mean_score, the best language's score for each character."""
+    names, extra = docs.columns, ["mean_score"] * mean
     if model is None:
-        return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *(F.lit(0.0).alias(x) for x in extra))
     lang_word, has_letter = "__lowered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     sent = spark_model(docs, model)
 
@@ -190,14 +197,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         m = sent.value
         for batch in batches:
             for part in slices(batch, lang_word):
-                scores = score_batch(m, part.column(lang_word))
+                scores, length = scores_and_lengths(m, part.column(lang_word))
                 best = scores.argmax(1)
                 share = 1 / np.exp(np.minimum(scores - scores[np.arange(len(best)), best][:, None], 0)).sum(1)
                 letter = part.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
                 cols = [part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(letter, np.array(m.langs, object)[best], "und"), pa.string()), pa.array(np.where(letter, share, 0.0))], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(letter, np.array(m.langs, object)[best], "und"), pa.string()), pa.array(np.where(letter, share, 0.0)), *[pa.array(scores.max(1) / np.maximum(length, 1))] * mean], names=[*names, "lang_pred", "score", *extra])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double" + ", mean_score double" * mean
     return docs.select("*", F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias(lang_word), has_letter.alias("__letter")).mapInArrow(lean(run), schema)
 
 
