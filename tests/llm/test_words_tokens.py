@@ -47,6 +47,18 @@ def test_encoder_is_exact(enc):
         assert ids[at[i] : at[i + 1]].tolist() == [*enc.library.encode(t or "", add_special_tokens=False).ids, 0], t
 
 
+def test_encoder_is_the_plain_library(enc):
+    from tokenizers import Tokenizer
+
+    from tidelog.llm.tokens import default_path
+
+    plain = Tokenizer.from_file(default_path())
+    texts = [*CASES, "x <|endoftext|> y", "x<|endoftext|>y", "<|endoftext|> <|endoftext|>", "a\n<|endoftext|>", "x <|endoftext| > y"]
+    ids, at = enc.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 0], t
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 4095, 4096, 4097, 9000])
 @pytest.mark.parametrize("top", [1, 4, 65536])
 def test_coder_round_trip(n, top):

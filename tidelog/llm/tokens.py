@@ -3,7 +3,7 @@
 Byte-level BPE never merges over the boundary before a space or line feed that follows a visible character. So a text that
 has no two white-space characters in a row (and none but space and line feed) is cut there, each distinct piece is encoded
 once by the library and kept in a worker's memory of bounded size, and a text's ids are its pieces' ids in a row. All other
-texts are encoded whole. Both ways give the ids of encode(text, add_special_tokens=False).
+texts, and those that hold a special token's name (which becomes that token), are encoded whole. Both ways give the ids of encode(text, add_special_tokens=False).
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or default_path())
-        self.library.encode_special_tokens = True
+        #: Texts of added tokens, which the library cuts out before it merges.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         #: Tokens that begin with the byte of a space or a line feed; in a row of pieces they begin a piece.
         self.opens = np.zeros(max(self.library.get_vocab(True).values()) + 1, bool)
@@ -59,10 +60,11 @@ class Encoder:
         self.firsts = _Places({"": 1}, self.fresh, "", 2)  # pieces at a text's start, without the space before
         self.pieces = _Places({}, self.fresh, " ", 2)
 
-    @staticmethod
-    def _safe(piece: str) -> bool:
-        """Whether a piece is one run of visible characters after at most one space or line feed."""
+    def _safe(self, piece: str) -> bool:
+        """Whether a piece is one run of visible characters after at most one space or line feed, and holds no added token."""
         body = piece[1:] if piece[:1] in (" ", "\n") else piece
+        if any(t in piece for t in self.added):
+            return False
         return body.isalnum() or (len(body.split()) == 1 and not body[0].isspace() and not body[-1].isspace())
 
     def _learn(self) -> None:
