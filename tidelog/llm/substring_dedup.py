@@ -9,6 +9,9 @@ Each task of the scan keeps one row for a span hash it sees, its first, and know
 third of all texts has one open row for each task, not for each text. Spans go to their bucket as packed arrays, and from
 there, packed again, to their texts.
 
+A copy of fewer than `run` sentences or min_words words has no span and stays, a whole text too. Pieces of long sentences have no
+greatest length: a repeated passage in which too few words are chosen has no span of its own and may stay.
+
 Words are runs of bytes other than white space, A-Z as a-z. Null and empty texts have no spans and stay as they are. Equal
 rows (same identifier and text) are one place and don't remove each other's text. Extra columns stay.
 """
