@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
         e, number, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                ids, offsets = e.encode(part.column("text").to_pylist())
+                ids, offsets = e.encode(part.column("text"))
                 raw, out = memoryview(ids.astype("<u4").tobytes()), []
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     for k, (start, length) in enumerate(pieces_of(b - a, capacity)):
