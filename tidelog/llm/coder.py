@@ -1,202 +1,82 @@
-"""Adaptive context-mixing range coder for sequences of token ids below 65536.
+"""The range coder of token ids (RangeCoder.java) as column functions.
 
-Ids are coded in blocks of BLOCK ids, each with a model and coder of its own, so a block can be read without any other and
-damage stays in it. All blocks of a call run side by side, one numpy lane each; the work of a step is shared by all lanes,
-and the three orders of a step are the rows of one array.
-
-Model of a block: order 2, order 1 and order 0 each predict one id (that last confirmed after the two ids before, after the
-id before, and over all), with a confidence that grows as it proves right. The orders are mixed by Bayesian weights that
-follow their success. An id that is predicted costs its mixed probability; any other costs the rest of the probability and
-16 bits. The coder is a carry-less range coder of 64-bit state and 32-bit words; a step puts out one word at most. Only
-exact float operations are used, so results don't depend on the machine.
+A sequential coder of a few bytes an id is no work for Python or for columns of numbers. So it is one small JVM class: the
+driver compiles it with the compiler that Spark brings along for its generated code, writes it as a jar into the shared
+folder, and adds that jar to the session, from which executors fetch it (new ones too, after a loss).
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+import io
+import zipfile
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from .shared import new_folder, put_file
 
-BLOCK = 2048
-BITS_1, BITS_2 = 10, 11
+#: Ids of a block; as in RangeCoder.java.
+BLOCK = 1 << 15
 TOTAL = 1 << 16
-_HEAD = struct.Struct("<III")  # ids, words, crc32 of the ids
-_U, _W, _R = np.uint64, np.uint32, np.float32
-_WORD, _MASK, _MOST = _U(32), _U(0xFFFFFFFF), _U(1 << 32)
-#: Share of TOTAL that predictions may take; what they leave is for ids that no order predicts.
-_SHARE = _R(65000)
-
-
-class _Model:
-    """Rows of the arrays: order 2, order 1, order 0. An entry is an id and, in its low 4 bits, how sure it is (0: none)."""
-
-    def __init__(self, lanes: int):
-        self.t1, self.t2 = np.zeros(lanes << BITS_1, _W), np.zeros(lanes << BITS_2, _W)
-        self.base_1, self.base_2 = (np.arange(lanes, dtype=np.int64) << b for b in (BITS_1, BITS_2))
-        self.entries, self.weights = np.zeros((3, lanes), _W), np.full((3, lanes), 1 / 3, _R)
-        self.near, self.far = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # hashes of the id before, and of that before it
-        self.at_1, self.at_2 = self.base_1.copy(), self.base_2.copy()
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids predicted, their frequencies of TOTAL, the sums of those up to each row). An id that several orders predict
-        stands once, in the first of them."""
-        e = self.entries
-        np.take(self.t2, self.at_2, out=e[0], mode="clip")
-        np.take(self.t1, self.at_1, out=e[1], mode="clip")
-        self.ids, self.sure = ids, n = e >> _W(4), e & _W(15)
-        p = n.astype(_R)
-        p /= p + _R(1.3)
-        self.p = p
-        f = p * self.weights
-        f *= _SHARE
-        f = f.astype(_W)
-        moved = f[1:] & -(ids[1:] == ids[0]).astype(_W)
-        f[1:] -= moved
-        f[0] += moved[0]
-        f[0] += moved[1]
-        moved = f[2] & -(ids[2] == ids[1]).astype(_W)
-        f[2] -= moved
-        f[1] += moved
-        sums = f.copy()
-        sums[1] += sums[0]
-        sums[2] += sums[1]
-        return ids, f, sums
-
-    def update(self, x: np.ndarray) -> None:
-        e, n, p, w = self.entries, self.sure, self.p, self.weights
-        right = self.ids == x
-        # what each order gave the id: its own prediction and a flat share of the rest
-        given = p * _R(-1 / 65536)
-        given += _R(1 / 65536)
-        given += p * right
-        w *= given
-        total = w[0] + w[1]
-        total += w[2]
-        w *= _R(0.97) / total
-        w += _R(0.01)
-        # right: surer; wrong: less sure, and replaced when no longer sure
-        wrong = np.where(n > 2, e - (n >> _W(1)), (x << _W(4)) | _W(1))
-        new = np.where(right, e + (n < 15), wrong)
-        self.t2[self.at_2], self.t1[self.at_1] = new[0], new[1]
-        self.entries = new
-        self.far, self.near = self.near, x * np.int64(2654435761)
-        at = self.near >> 11
-        at &= (1 << BITS_1) - 1
-        np.add(at, self.base_1, out=self.at_1)
-        self.far *= 3
-        at = self.near + self.far
-        at >>= 12
-        at &= (1 << BITS_2) - 1
-        np.add(at, self.base_2, out=self.at_2)
-
-
-def _settle(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Where the first word of low stands fast; a range that is short but has no such word is cut at the next word."""
-    last = low + size
-    last -= _U(1)
-    last ^= low
-    agree = last < _MOST
-    short = size < _MOST
-    np.copyto(size, (_U(0) - low) & _MASK, where=short > agree)
-    return short | agree
-
-
-def encode(ids: np.ndarray) -> list[bytes]:
-    """Coded blocks of up to BLOCK ids each."""
-    if not len(ids):
-        return []
-    if int(ids.max()) >= TOTAL:
+_NAME = "tidelog.llm.RangeCoder"
+#: By application: the classes' loader.
+_loaders: dict = {}
+
+
+def _loader(spark: SparkSession):
+    app = spark.sparkContext.applicationId
+    if app not in _loaders:
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(Path(__file__).with_name("RangeCoder.java").read_text())
+        jar = io.BytesIO()
+        with zipfile.ZipFile(jar, "w") as z:
+            for name, code in dict(compiler.getBytecodes()).items():
+                z.writestr(name.replace(".", "/") + ".class", bytes(code))
+        spark.sparkContext._jsc.sc().addJar(put_file(new_folder(spark, "coder"), "coder", jar.getvalue(), ".jar"))
+        _loaders.clear()
+        _loaders[app] = compiler.getClassLoader()
+    return _loaders[app]
+
+
+def _instance(spark: SparkSession, kind: str):
+    return _loader(spark).loadClass(f"{_NAME}${kind}").getDeclaredConstructors()[0].newInstance(spark.sparkContext._gateway.new_array(spark._jvm.Object, 0))
+
+
+def _function(spark: SparkSession, kind: str, column: Column) -> Column:
+    name = f"tidelog_ids_{kind.lower()}"
+    spark._jsparkSession.udf().register(name, _instance(spark, kind), spark._jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+    return F.call_udf(name, column)
+
+
+def encoded(spark: SparkSession, ids: Column) -> Column:
+    """Coded blocks of a binary column of ids (little-endian 16-bit)."""
+    return _function(spark, "Encode", ids)
+
+
+def decoded(spark: SparkSession, blocks: Column) -> Column:
+    """The ids of coded blocks; fails on a block that its checksum doesn't fit."""
+    return _function(spark, "Decode", blocks)
+
+
+def packed(ids: np.ndarray) -> bytes:
+    if len(ids) and int(ids.max()) >= TOTAL:
         raise ValueError("ids must be below 65536")
-    lanes = -(-len(ids) // BLOCK)
-    x = np.zeros(lanes * BLOCK, _W)
-    x[: len(ids)] = ids
-    x = x.reshape(lanes, BLOCK)
-    lengths = [BLOCK] * (lanes - 1) + [len(ids) - (lanes - 1) * BLOCK]
-    columns, model = np.ascontiguousarray(x.T), _Model(lanes)
-    low, size = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    width = BLOCK + 3
-    words, place = np.zeros(lanes * width, _W), np.arange(lanes) * width
-
-    def ended(lane: int) -> bytes:
-        at, n = lane * width, int(place[lane]) - lane * width
-        row = np.append(words[at : at + n], np.array([low[lane] >> _WORD, low[lane] & _MASK], _W))
-        return _HEAD.pack(lengths[lane], n + 2, zlib.crc32(x[lane, : lengths[lane]].astype("<u4").tobytes())) + row.astype("<u4").tobytes()
-
-    for t in range(max(lengths)):
-        now = columns[t]
-        predicted, f, sums = model.predict()
-        hit = predicted == now
-        f *= hit
-        own = f[0] + f[1]
-        own += f[2]
-        known = own > 0
-        sums[:2] *= f[1:] > 0  # the sum before the id's own row
-        begin = sums[0] + sums[1]
-        rest = _W(TOTAL) - sums[2]
-        other = now * rest.astype(_U)
-        other += sums[2].astype(_U) << _U(16)
-        start = np.where(known, begin.astype(_U) << _U(16), other)
-        step = size >> _WORD
-        low += start * step
-        size = step * np.where(known, own << _W(16), rest)
-        out = _settle(low, size)
-        words[place] = low >> _WORD
-        place += out
-        out = out.astype(_U) << _U(5)
-        low <<= out
-        size <<= out
-        model.update(now)
-        if t + 1 == lengths[-1]:  # the last block may end first; what follows in its lane isn't kept
-            last = ended(lanes - 1)
-    return [ended(k) for k in range(lanes - 1)] + [last]
-
-
-def decode(blocks: list[bytes]) -> np.ndarray:
-    """The ids of coded blocks; checks each block's checksum."""
-    if not blocks:
-        return np.zeros(0, _W)
-    heads = [_HEAD.unpack_from(b) for b in blocks]
-    lanes, steps = len(blocks), max(n for n, _, _ in heads)
-    width = max(max(n for _, n, _ in heads), steps) + 3  # a lane reads one word a step at most
-    words = np.zeros((lanes, width), _W)
-    for k, (b, (_, n, _)) in enumerate(zip(blocks, heads, strict=True)):
-        words[k, :n] = np.frombuffer(b, "<u4", n, _HEAD.size)
-    model = _Model(lanes)
-    low, size = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, _U)
-    code = (words[:, 0].astype(_U) << _WORD) | words[:, 1]
-    flat, place = words.ravel(), np.arange(lanes) * width + 2
-    out = np.zeros((steps, lanes), _W)
-    for t in range(steps):
-        predicted, f, sums = model.predict()
-        step = size >> _WORD
-        v = code - low
-        v //= step
-        v = np.minimum(v, _MASK).astype(_W)
-        high = v >> _W(16)
-        in_2, in_1, known = high < sums[0], high < sums[1], high < sums[2]
-        rest = _W(TOTAL) - sums[2]
-        other = v - (sums[2] << _W(16))
-        other //= rest
-        now = np.where(known, np.where(in_2, predicted[0], np.where(in_1, predicted[1], predicted[2])), other)
-        begin = np.where(in_2, _W(0), np.where(in_1, sums[0], sums[1])) << _W(16)
-        start = np.where(known, begin, (sums[2] << _W(16)) + now * rest)
-        own = np.where(in_2, f[0], np.where(in_1, f[1], f[2])) << _W(16)
-        low += start * step
-        size = step * np.where(known, own, rest)
-        fast = _settle(low, size)
-        more = flat[place]
-        place += fast
-        fast = fast.astype(_U) << _U(5)
-        low <<= fast
-        size <<= fast
-        code = np.where(fast, (code << _WORD) | more, code)
-        model.update(now)
-        out[t] = now
-    rows = []
-    for k, (n, _, crc) in enumerate(heads):
-        row = out[:n, k].astype("<u4")
-        if zlib.crc32(row.tobytes()) != crc:
-            raise ValueError(f"block {k} is damaged")
-        rows.append(row)
-    return np.concatenate(rows)
+    return ids.astype("<u2").tobytes()
+
+
+def encode(spark: SparkSession, ids: np.ndarray) -> bytes:
+    """Coded blocks, by the driver's JVM."""
+    return bytes(_instance(spark, "Encode").call(bytearray(packed(ids))))
+
+
+def decode(spark: SparkSession, blocks: bytes) -> np.ndarray:
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    try:
+        return np.frombuffer(bytes(_instance(spark, "Decode").call(bytearray(blocks))), "<u2")
+    except (Py4JError, PySparkException) as e:
+        raise ValueError(f"a block is damaged: {e}") from None

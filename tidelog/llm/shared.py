@@ -51,12 +51,12 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_file(folder: str, name: str, data: bytes) -> str:
+def put_file(folder: str, name: str, data: bytes, ending: str = "") -> str:
     """Writes a file under a name of its own for every attempt of a task; only names that reach the manifest count, so
     failed and speculative attempts leave nothing that is read."""
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
-    final = f"{name}-{uuid.uuid4().hex[:12]}"
+    final = f"{name}-{uuid.uuid4().hex[:12]}{ending}"
     with system.open_output_stream(f"{path}/{final}") as out:
         out.write(data)
     return f"{folder}/{final}"
