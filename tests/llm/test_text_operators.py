@@ -1,11 +1,17 @@
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import components, decontam, jaccard, langid, pii, substring_dedup, toxicity
+from tidelog.llm.words import word_hash
 
 DOCS = "doc_id long, text string, score string, a string, n string"
 
@@ -30,10 +36,82 @@ def test_repeated_passages_go_but_the_first(spark, prose):
     assert got[1].asDict().keys() == {"doc_id", "text", "score", "a", "n", "removed_sentences", "removed_words"}
 
 
+def brute_sentences(text):
+    """(begin, end, words) of each sentence, places in the text; what stands between goes with that before."""
+    found = list(re.finditer("[^\x20\x09-\x0d]+", text))
+    low = [re.sub("[A-Z]", lambda m: m.group().lower(), m.group()) for m in found]
+    groups = []
+    for k, m in enumerate(found):
+        if k == 0 or re.search("[.!?\n]", text[found[k - 1].start() : m.start()]):
+            groups.append([])
+        groups[-1].append(k)
+    h = [word_hash(x) for x in low]
+    least = [all(h[k] <= x for x in h[max(0, k - 2) : k + 3]) for k in range(len(h))]
+    out = []
+    for g in groups:
+        out.append([])
+        for k in g:
+            out[-1].append(k)
+            if len(g) > substring_dedup.LONG and least[k] and k != g[-1]:
+                out.append([])
+    begins = [0, *(found[g[0]].start() for g in out[1:]), len(text)]
+    return [(a, b, tuple(low[k] for k in g)) for a, b, g in zip(begins[:-1], begins[1:], out, strict=True)] if out else []
+
+
+def brute_dedup(rows, run, min_words, within):
+    """(text, removed sentences, removed words) of each row."""
+    texts = sorted({(i is not None, i or 0, k, t) for i, k, t in rows if t is not None})
+    sentences, spans, first = {x: brute_sentences(x[3]) for x in texts}, {}, {}
+    for x in texts:
+        words = [w for *_, w in sentences[x]]
+        for s in range(len(words)):
+            e = s + run
+            while sum(map(len, words[s:e])) < min_words and e <= len(words):
+                e += 1
+            if e <= len(words):
+                h = sum(words[s:e], ())
+                spans.setdefault(x, []).append((s, e, h))
+                first.setdefault(h, (x, s))
+    out = []
+    for i, k, t in rows:
+        x = (i is not None, i or 0, k, t)
+        gone = set()
+        for s, e, h in spans.get(x, []):
+            if first[h][0] != x or within and first[h][1] != s:
+                gone.update(range(s, e))
+        parts = sentences.get(x, [])
+        kept = t if not gone else "".join(t[a:b] for n, (a, b, _) in enumerate(parts) if n not in gone)
+        out.append((i, kept, len(gone), sum(len(parts[n][2]) for n in gone)))
+    return out
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_spans_against_brute_force(spark, prose, within):
+    rng, rows = random.Random(12), []
+    passages = [prose(700 + i, rng.choice([14, 40, 90]), rng.choice([3, 9, 10**6])) for i in range(8)]
+    for i in range(120):
+        parts = [prose(i, rng.randrange(0, 40), rng.choice([4, 10**6]))] + [rng.choice(passages) for _ in range(rng.randrange(3))] + [prose(1000 + i, rng.randrange(0, 30))]
+        rows.append((i * 37 % 113, rng.choice([" ", "\n", ". "]).join(parts)))
+    rows += [rows[0], rows[1], (None, rows[2][1]), (None, rows[3][1]), (None, passages[2]), (None, None), (7, None), (7, ""), (8, " \n"), (900, "la " * 400), (901, "la " * 300), (902, "li la " * 200), (903, "Été! " * 90), (904, "x" * 5000)]
+    df = docs(spark, rows)
+    keyed = [tuple(r) for r in df.select("doc_id", F.xxhash64("text"), "text").collect()]
+    want = brute_dedup(keyed, 3, 12, within)
+    got = substring_dedup.dedup(df, min_words=12, within=within).select("doc_id", "text", "removed_sentences", "removed_words").collect()
+    assert Counter(tuple(r) for r in got) == Counter(want)
+    assert sum(n > 0 for *_, n in want) > 60
+
+
 def test_substring_edge_tables(spark, prose):
     assert substring_dedup.dedup(docs(spark, [])).count() == 0
     same = substring_dedup.dedup(docs(spark, [(1, prose(1, 50)), (1, prose(1, 50)), (None, prose(2, 50))])).collect()
     assert all(r["removed_words"] == 0 for r in same)
+    # columns named like those in use, and like the result's own
+    clash = spark.createDataFrame([(1, prose(1, 50), 5, 6, 7, 8, 9), (2, prose(1, 50), 5, 6, 7, 8, 9)], "doc_id long, text string, at int, of_id int, Of_Key int, removed_words int, other int")
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(clash).collect()}
+    assert got[1].asDict().keys() == {"doc_id", "text", "at", "of_id", "Of_Key", "other", "removed_sentences", "removed_words"}
+    assert (got[1]["removed_words"], got[2]["removed_words"], got[2]["at"], got[2]["other"]) == (0, 50, 5, 9)
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(clash.withColumnRenamed("removed_words", "Removed_Sentences"), text_col="Removed_Sentences")
 
 
 # personal data
@@ -96,9 +174,79 @@ def test_words_first_then_characters(spark, model):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
-def test_training_ignores_held_out_rows(spark):
-    import zlib
+def brute_scores(counts, text, min_count=3):
+    """Sum of the words' scores in each language."""
+    langs = sorted({lang for lang, *_ in counts})
+    total = {x: 1 + sum(n for lang, _, n in counts if lang == x) for x in langs}
+    known, grams = {}, {}
+    for lang, word, n in counts:
+        if n >= min_count:
+            known.setdefault(word, {})[lang] = n
+        marked = f"\x02{word}\x03"
+        for size in range(1, 5):
+            for end in range(2, len(marked) + 1):
+                if end >= size:
+                    c = grams.setdefault(marked[end - size : end], dict.fromkeys(langs, 0))
+                    c[lang] += 1
+    kept = {g: c for g, c in grams.items() if len(g) == 1 or sum(c.values()) > 1}
+
+    def value(gram, lang):
+        c = grams[gram][lang]
+        if c:
+            return math.log(c / sum(o[lang] for g, o in grams.items() if len(g) == len(gram) and g[:-1] == gram[:-1]))
+        back = next((gram[k:] for k in range(1, len(gram)) if gram[k:] in kept), "")
+        return (value(back, lang) if back else math.log(1e-4)) + math.log(0.4) * (len(gram) - len(back))
+
+    out = dict.fromkeys(langs, 0.0)
+    for word in re.findall("[a-z\x80-\U0010ffff]+", text.lower()):
+        marked = f"\x02{word}\x03"
+        for lang in langs:
+            if word in known:
+                out[lang] += math.log(max(known[word].get(lang, 0), 0.5) / total[lang])
+                continue
+            out[lang] += math.log(0.05)
+            for end in range(2, len(marked) + 1):
+                gram = next((marked[end - size : end] for size in (4, 3, 2, 1) if end >= size and marked[end - size : end] in kept), "")
+                out[lang] += (value(gram, lang) if gram else math.log(1e-4)) + math.log(0.4) * (4 - len(gram))
+    return [out[x] for x in langs]
+
+
+def test_backoff_against_brute_force(prose):
+    rng = random.Random(9)
+    counts = sorted({(lang, "".join(rng.choice(letters) for _ in range(rng.randrange(1, 6)))): rng.choice([1, 1, 2, 3, 50]) for lang, letters in [("a", "abcé"), ("b", "bcdß"), ("c", "cdeñ")] for _ in range(60)}.items())
+    counts = [(*k, n) for k, n in counts]
+    model = langid.fit(counts)
+    texts = [" ".join("".join(rng.choice("abcdeéßñ") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(6))) for _ in range(40)] + ["Abc!bcd,ÉZ", "", counts[0][1]]
+    got = langid.score_batch(model, pa.array([t.lower() for t in texts]))
+    for t, row in zip(texts, got.tolist(), strict=True):
+        assert row == pytest.approx(brute_scores(counts, t), abs=1e-6)
+
+
+def test_trained_by_spark_as_at_once(spark, prose):
+    """Counts by Spark, rare words too, give the model of the same words counted in one place."""
+    rows = [(i, prose(i, 30) + (f" {'é' * (i % 7)}un" if i % 2 else " der"), "en" if i % 3 else "de") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    counts = Counter((lang, w) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in re.findall("[a-z\x80-\U0010ffff]+", t.lower()))
+    whole = langid.fit([(*k, n) for k, n in sorted(counts.items())])
+    assert model.langs == whole.langs and (model.words == whole.words).all() and np.allclose(model.word_scores, whole.word_scores)
+    for a, b, x, y in zip(model.grams, whole.grams, model.gram_scores, whole.gram_scores, strict=True):
+        assert (a == b).all() and np.allclose(x, y)
+
+
+def test_language_columns(spark, model, prose):
+    """Columns named like the result's own are replaced, others stay, whatever their names."""
+    rows = [(1, "the house of " * 3000, "x", 7, 8, 9), (1, "the house of " * 3000, "x", 7, 8, 9), (None, "und der", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Score string, lang_pred int, lowered int, letter int")
+    for m in (model, None):
+        got = langid.predict(df, m)
+        assert got.columns == ["doc_id", "text", "lowered", "letter", "lang_pred", "score"]
+        assert Counter((r["doc_id"], r["lang_pred"], r["lowered"]) for r in got.collect()) == Counter([(1, "en" if m else "und", 8)] * 2 + [(None, "de" if m else "und", None)])
+        assert langid.predict(df.limit(0), m).count() == 0
+    with pytest.raises(ValueError):
+        langid.predict(df, model, text_col="Score")
 
+
+def test_training_ignores_held_out_rows(spark):
     rows = [(i, "der und haus schicht" if i % 2 else "the of house thing", "de" if i % 2 else "en") for i in range(60)]
     rows = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows] + [(100, None, "en"), (101, "the", None), (None, "the", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -131,8 +279,6 @@ def brute_tiles(a, b, least):
 
 
 def test_tiling_against_brute_force():
-    import numpy as np
-
     rng = random.Random(2)
     for _ in range(60):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 25))] for _ in range(2))
@@ -233,9 +379,50 @@ def test_components(spark):
 # toxicity
 
 
-def test_positive_unlabelled_learning(spark, prose):
-    import zlib
+def test_risk_and_its_gradient():
+    """The step is the gradient of the corrected risk, and against that of a negative risk below zero; by plain sums and
+    finite differences."""
+    rng = np.random.default_rng(3)
+    sets = lambda n: [np.flatnonzero(rng.random(6) < 0.4) for _ in range(n)]
+    flat = lambda x: (np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x), len(x))
+    seen = set()
+    for _ in range(30):
+        pos, unl, w, prior = sets(9), sets(14), rng.normal(size=7) * 2, rng.uniform(0.1, 0.9)
+
+        def parts(w, pos=pos, unl=unl, prior=prior):
+            g = lambda x: sum(w[i] for i in x) + w[-1]
+            loss = lambda z: math.log1p(math.exp(-z))
+            return prior * sum(loss(g(x)) for x in pos) / 9, sum(loss(-g(x)) for x in unl) / 14 - prior * sum(loss(-g(x)) for x in pos) / 9
+
+        risks, step = toxicity.risk_and_step(w, flat(pos), flat(unl), prior)
+        assert risks == pytest.approx(parts(w))
+        seen.add(bool(risks[1] < 0))
+        for k in range(7):
+            h = np.eye(7)[k] * 1e-5
+            up, down = parts(w + h), parts(w - h)
+            slope = [(a - b) / 2e-5 for a, b in zip(up, down, strict=True)]
+            assert step[k] == pytest.approx(-slope[1] if risks[1] < 0 else sum(slope), abs=1e-6)
+    assert seen == {True, False}
+
+
+def test_scores_by_hand(spark, prose):
+    """Scores of whole texts against sums of weights; columns named like the result's own are replaced."""
+    pos = [np.unique(toxicity.hashed_words(pa.array([f"vermin {prose(i, 30)}"]))[0]) for i in range(40)]
+    unl = [np.unique(toxicity.hashed_words(pa.array([prose(100 + i, 30)]))[0]) for i in range(80)]
+    model = toxicity.fit(pos, unl, 0.2)
+    rows = [(1, "vermin"), (2, "Vermin vermin! " * 4000 + prose(1, 10)), (2, "vermin"), (3, None), (4, ""), (None, "the stone")]
+    df = spark.createDataFrame([(i, t, 1, "p", 5) for i, t in rows], "doc_id long, text string, Predicted int, score string, lowered int")
+    got = toxicity.score(df, model)
+    assert got.columns == ["doc_id", "text", "lowered", "score", "predicted"]
+    for r in got.collect():
+        words = {w for w in re.findall("[a-z]+", (r["text"] or "").lower())}
+        at = {int(model.slot[toxicity.hashed_words(pa.array([w]))[0][0]]) for w in words} - {-1}
+        p = 1 / (1 + math.exp(-sum(model.weights[k] for k in at) - model.bias))
+        assert r["score"] == pytest.approx(p) and r["predicted"] == (p >= 0.3)
+    assert toxicity.score(df.limit(0), model).count() == 0
 
+
+def test_positive_unlabelled_learning(spark, prose):
     rng, rows, labels = random.Random(6), [], []
     for i in range(600):
         bad = i % 6 == 0

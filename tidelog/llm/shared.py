@@ -7,7 +7,8 @@ import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +63,36 @@ def put_file(folder: str, name: str, data: bytes, ending: str = "") -> str:
     return f"{folder}/{final}"
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def private(names: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of names has, in any case of letters."""
+    taken, out = {x.lower() for x in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def without(names: list[str], own: list[str], needed: list[str] = ()) -> list[str]:
+    """names without those that a result has columns of its own for; these are replaced. Needed ones can't be."""
+    taken = {x.lower() for x in own}
+    for name in needed:
+        if name.lower() in taken:
+            raise ValueError(f"the result has a column {name} of its own; rename the input's")
+    return [x for x in names if x.lower() not in taken]
+
+
+def ddl(schema, names: list[str]) -> str:
+    """The columns of a schema that have these names, as text."""
+    return ", ".join("`" + n.replace("`", "``") + "` " + schema[n].dataType.simpleString() for n in names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

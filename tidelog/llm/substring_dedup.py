@@ -1,19 +1,22 @@
 """Substring de-duplication by sliding sentence spans.
 
-Sentences end at . ! ? or a line feed; one of more than LONG words is cut further after words chosen by their hash and between equal
-words, so texts without punctuation are cut alike wherever they stand. A span is a run of `run` consecutive sentences, made longer until it
-has min_words words. The hashes of all spans meet globally; a sentence is removed if a span covers it that isn't the first
-of its hash, in order of (identifier, text hash, place).
+Sentences end at . ! ? or a line feed; one of more than LONG words, as in text without such marks, is cut further after words
+whose hash is the least among the two words on each side, so it is cut alike wherever it stands. A span is a run of `run`
+consecutive sentences, made longer until it has min_words words. The hashes of all spans meet globally; a sentence is removed
+if a span covers it that an earlier document holds too, in order of (identifier, text hash). What repeats within one document
+only stays, unless `within` is set: then every occurrence but the first goes.
 
-Each task of the scan keeps one row for a span hash it sees, its first, and knows the others to be repeats: so a span of a
-third of all texts has one open row for each task, not for each text. Spans go to their bucket as packed arrays, and from
-there, packed again, to their texts.
+Each task of the scan keeps one row for a span hash it sees, its first, and knows those of other documents to be repeats: so a
+span of a third of all texts has one open row for each task, not for each text; known repeats go straight on, by text. Spans
+go to their bucket as packed arrays, and from there, packed again, to their texts. Buckets are as many as the text's bytes
+need, so that one is held by a worker at a time.
 
-A copy of fewer than `run` sentences or min_words words has no span and stays, a whole text too. Pieces of long sentences have no
-greatest length: a repeated passage in which too few words are chosen has no span of its own and may stay.
+A copy of fewer than `run` sentences or min_words words has no span and stays, a whole text too.
 
 Words are runs of bytes other than white space, A-Z as a-z. Null and empty texts have no spans and stay as they are. Equal
-rows (same identifier and text) are one place and don't remove each other's text. Extra columns stay.
+rows (same identifier and text) are one document and don't remove each other's text. Rows without an identifier come first and
+are told apart by 64-bit hashes of their texts. Extra columns stay; those named like the result's own are replaced. An
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, written
+from .shared import ddl, private, quoted, shuffle_partitions, without, written
 from .words import _mix, range_hashes, slices, words_of
 
-LONG = 8
+LONG = 30
+#: Bytes of text whose spans one bucket may hold.
+BUCKET_BYTES = 32 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?"), 10]] = True
 #: One span: hash, identifier, text hash, number of its first sentence. A number below 0 is -1 - s of a known repeat.
-ROW = np.dtype([("h", "<u8"), ("d", "<i8"), ("t", "<u4"), ("s", "<i4")])
+ROW = np.dtype([("h", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<i4")])
 
 
 def sentences_of(column: pa.Array, long: int = LONG):
@@ -45,18 +50,23 @@ def sentences_of(column: pa.Array, long: int = LONG):
     begin[w.first[:-1][np.diff(w.first) > 0]] = True
     begin[1:n] |= ends[w.start[1:]] > ends[w.start[:-1]]
     begin[n] = True
-    # long ones are cut after words whose hash says so, and between equal words
     starts = np.flatnonzero(begin)
     size = np.diff(starts)
-    inner = np.repeat(size > long, size)
-    chosen = (_mix(w.hash + np.uint64(7)) & np.uint64(3)) == 0
-    chosen[:-1] |= w.hash[1:] == w.hash[:-1]
-    chosen &= inner
-    begin[1:] |= chosen
+    begin[1:] |= _least_nearby(w.hash, np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))) & np.repeat(size > long, size)
     starts = np.flatnonzero(begin)
     return w, starts, np.searchsorted(starts, w.first)
 
 
+def _least_nearby(h: np.ndarray, owner: np.ndarray, reach: int = 2) -> np.ndarray:
+    """Words whose hash none of the words at most `reach` before or after, in the same text, undercuts."""
+    ok = np.ones(len(h), bool)
+    for k in range(1, reach + 1):
+        apart = owner[k:] != owner[:-k]
+        ok[k:] &= apart | (h[k:] <= h[:-k])
+        ok[:-k] &= apart | (h[:-k] <= h[k:])
+    return ok
+
+
 def spans_of(column: pa.Array, run: int, min_words: int):
     """(owner text, hash, first sentence, sentence after the last), sentences numbered within their text."""
     w, starts, first = sentences_of(column)
@@ -74,19 +84,37 @@ def _ordered(rows: np.ndarray) -> np.ndarray:
     return rows[np.lexsort((rows["s"], rows["t"], rows["d"], rows["h"]))]
 
 
-def _scan(run: int, min_words: int, buckets: int):
-    """Rows (bucket, blob): the firsts of this task, and marked the repeats that are known here already."""
+def _split(rows: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the first row of each hash, known repeats) of ordered rows. Of a hash in a document only the first row counts, but
+    with `within` the later ones are repeats of their own."""
+    if not len(rows):
+        return rows, rows
+    new = np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])
+    of = rows[np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = (rows["d"] != of["d"]) | (rows["t"] != of["t"])
+    if within:
+        other |= rows["s"] != of["s"]
+    else:  # one row of each document
+        again = np.concatenate([[False], (rows["h"][1:] == rows["h"][:-1]) & (rows["d"][1:] == rows["d"][:-1]) & (rows["t"][1:] == rows["t"][:-1])])
+        other &= ~again
+    return rows[new], rows[other]
+
+
+def _by_place(rows: np.ndarray, buckets: int) -> np.ndarray:
+    return _mix(rows["d"].astype(np.uint64) * np.uint64(31) + rows["t"].astype(np.uint64)) % np.uint64(buckets)
+
+
+def _scan(run: int, min_words: int, within: bool, buckets: int):
+    """Rows (bucket, blob): the firsts of this task, by hash, and marked, by document, the repeats that are known here already."""
 
     def scan(batches):
         kept = np.zeros(0, ROW)
         held, size = [], 0
 
         def settle(kept, held):
-            rows = _ordered(np.concatenate([kept, *held]))
-            first = _firsts(rows)
-            again = rows[~first & _later(rows, first)]
+            first, again = _split(_ordered(np.concatenate([kept, *held])), within)
             again["s"] = -1 - again["s"]
-            return rows[first], again
+            return first, again
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -99,24 +127,14 @@ def _scan(run: int, min_words: int, buckets: int):
                 if size > 1 << 18:
                     kept, again = settle(kept, held)
                     held, size = [], 0
-                    yield from _blobs(again["h"] % np.uint64(buckets), again)
+                    yield from _blobs(_by_place(again, buckets), again)
         kept, again = settle(kept, held)
-        rows = np.concatenate([kept, again])
-        yield from _blobs(rows["h"] % np.uint64(buckets), rows)
+        yield from _blobs(_by_place(again, buckets), again)
+        yield from _blobs(kept["h"] % np.uint64(buckets), kept)
 
     return scan
 
 
-def _firsts(rows: np.ndarray) -> np.ndarray:
-    return np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]])[: len(rows)]
-
-
-def _later(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Not at the very place of the first row of its hash."""
-    of = rows[np.flatnonzero(first)][np.cumsum(first) - 1] if len(rows) else rows
-    return (rows["d"] != of["d"]) | (rows["t"] != of["t"]) | (rows["s"] != of["s"])
-
-
 def _blobs(bucket: np.ndarray, rows: np.ndarray):
     if len(rows):
         order = np.argsort(bucket, kind="stable")
@@ -129,16 +147,15 @@ def _rows(table: pa.Table) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), ROW) for x in table.column("blob")])
 
 
-def _meet(buckets: int):
-    """All spans of a bucket: those after the first of their hash repeat it. Packed again, by text."""
+def _meet(buckets: int, within: bool):
+    """All first spans of a bucket: those after the first of their hash repeat it. Packed again, by text."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = _rows(table)
-        known, open_ = rows[rows["s"] < 0], _ordered(rows[rows["s"] >= 0])
+        known = rows[rows["s"] < 0]
         known["s"] = -1 - known["s"]
-        first = _firsts(open_)
-        again = np.concatenate([known, open_[~first & _later(open_, first)]])
-        found = list(_blobs(_mix(again["d"].astype(np.uint64) * np.uint64(31) + again["t"]) % np.uint64(buckets), again))
+        again = np.concatenate([known, _split(_ordered(rows[rows["s"] >= 0]), within)[1]])
+        found = list(_blobs(_by_place(again, buckets), again))
         return pa.Table.from_batches(found) if found else pa.table({"bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
 
     return run
@@ -150,39 +167,45 @@ def _by_text(table: pa.Table) -> pa.Table:
     rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"]))]
     new = np.flatnonzero(np.concatenate([[True], (rows["d"][1:] != rows["d"][:-1]) | (rows["t"][1:] != rows["t"][:-1])]))
     at = [np.unique(rows["s"][a:b]).astype("<i4").tobytes() for a, b in zip(new, [*new[1:], len(rows)], strict=True)]
-    return pa.table({"of_id": np.ascontiguousarray(rows["d"][new]), "of_key": rows["t"][new].astype(np.int64), "at": pa.array(at, pa.binary())})
+    return pa.table({"of_id": np.ascontiguousarray(rows["d"][new]), "of_key": np.ascontiguousarray(rows["t"][new]), "at": pa.array(at, pa.binary())})
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __id and __key, which stand for a row's place in the order and its text."""
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__key", F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)))
+def _place(id_col: str, text_col: str):
+    """Columns that stand for a row's document: its identifier (none: the least) and its text's hash."""
+    return F.coalesce(quoted(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(quoted(text_col))
 
 
-def covered(docs: DataFrame, run: int = 3, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def covered(docs: DataFrame, run: int = 3, min_words: int = 30, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(of_id, of_key, at): the first sentences of the repeated spans of each text that has any."""
-    partitions = shuffle_partitions(docs.sparkSession)
-    buckets = 2 * partitions
-    rows = _keyed(docs.where(F.col(text_col).isNotNull()).select(id_col, text_col), id_col, text_col).select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    own_id, key = _place(id_col, text_col)
+    rows = docs.where(quoted(text_col).isNotNull()).select(own_id.alias("id"), key.alias("key"), quoted(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES)
     packed = "bucket long, blob binary"
-    met = rows.mapInArrow(_scan(run, min_words, buckets), packed).groupBy("bucket").applyInArrow(_meet(partitions), packed)
+    met = rows.mapInArrow(_scan(run, min_words, within, buckets), packed).groupBy("bucket").applyInArrow(_meet(buckets, within), packed)
     return met.groupBy("bucket").applyInArrow(_by_text, "of_id long, of_key long, at binary")
 
 
 def cut_text(column: pa.Array, repeats: list[bytes | None], run: int, min_words: int) -> tuple[list[str], list[int], list[int]]:
     """(kept text, removed sentences, removed words) of each text, from the first sentences of its repeated spans."""
     w, starts, first = sentences_of(column)
-    owner, _, begins_at, ends_at = spans_of(column, run, min_words)
+    owner, h, begins_at, ends_at = spans_of(column, run, min_words)
     of = np.searchsorted(owner, np.arange(len(repeats) + 1))
     texts, sentences, words = [], [], []
     for i, blob in enumerate(repeats):
         a, b = int(w.text_start[i]), int(w.text_start[i + 1])
         lo, hi = int(first[i]), int(first[i + 1])
         gone = np.zeros(hi - lo, bool)
-        if blob:
+        if blob:  # with each marked span those of its hash after it
             here = slice(of[i], of[i + 1])
-            at = np.searchsorted(begins_at[here], np.frombuffer(blob, "<i4"))
-            for s, e in zip(begins_at[here][at].tolist(), ends_at[here][at].tolist(), strict=True):
-                gone[s:e] = True
+            own, marked = h[here], np.frombuffer(blob, "<i4")
+            known, at = np.unique(own[np.searchsorted(begins_at[here], marked)], return_index=True)
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = (known[place] == own) & (begins_at[here] >= marked[at][place])
+            change = np.zeros(hi - lo + 1, np.int64)
+            np.add.at(change, begins_at[here][hit], 1)
+            np.add.at(change, ends_at[here][hit], -1)
+            gone = change.cumsum()[:-1] > 0
         raw = w.data[a:b].tobytes()
         if gone.any():
             begins = [a, *w.start[starts[lo + 1 : hi]].tolist(), b]  # what stands between sentences goes with that before
@@ -193,21 +216,24 @@ def cut_text(column: pa.Array, repeats: list[bytes | None], run: int, min_words:
     return texts, sentences, words
 
 
-def dedup(docs: DataFrame, run: int = 3, min_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, run: int = 3, min_words: int = 30, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut, and removed_sentences and removed_words (0: nothing repeats)."""
-    repeats = written(covered(docs, run, min_words, id_col, text_col), "repeats")
-    names = docs.columns
-    keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(repeats, (F.col("__id") == F.col("of_id")) & (F.col("__key") == F.col("of_key")), "left").select(*names, F.col("at").alias("__at"))
+    repeats = written(covered(docs, run, min_words, within, id_col, text_col), "repeats")
+    own = ["removed_sentences", "removed_words"]
+    names = without(docs.columns, own, [id_col, text_col])
+    of_id, of_key, at, mine, key = private(names, "of_id", "of_key", "at", "mine", "key")
+    own_id, own_key = _place(id_col, text_col)
+    keyed = docs.select(*map(quoted, names), own_id.alias(mine), own_key.alias(key))
+    found = repeats.select(F.col("of_id").alias(of_id), F.col("of_key").alias(of_key), F.col("at").alias(at)).hint("merge")  # grows with the input: never broadcast
+    joined = keyed.join(found, (F.col(mine) == F.col(of_id)) & (F.col(key) == F.col(of_key)), "left").select(*map(quoted, names), at)
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, text_col):
                 column = part.column(text_col)
-                texts, sentences, words = cut_text(column, part.column("__at").to_pylist(), run, min_words)
+                texts, sentences, words = cut_text(column, part.column(at).to_pylist(), run, min_words)
                 texts = [None if m else t for t, m in zip(texts, column.is_null().to_pylist(), strict=True)]
                 cols = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sentences, pa.int32()), pa.array(words, pa.int32())], names=[*names, "removed_sentences", "removed_words"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sentences, pa.int32()), pa.array(words, pa.int32())], names=[*names, *own])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_sentences int, removed_words int"
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, ddl(docs.schema, names) + ", removed_sentences int, removed_words int")
