@@ -5,8 +5,11 @@ longest known n-gram that ends there, from 4 characters down to 1, each step dow
 over all its words and turned into a posterior.
 
 Training counts come from a bounded sample of labelled rows, chosen by a hash of the identifier: `max_documents` in
-expectation (a documented bound; prediction covers every whole text). Texts that are null or hold no letter are `und` with
-score 0. Ties go to the language whose name comes first. With no labelled row, every text is `und`. Extra columns stay.
+expectation (a documented bound; prediction covers every whole text). Every distinct word of the sample teaches its n-grams,
+however rare; a word is itself known from min_count occurrences on. Both are counted by Spark; n-grams and known words reach
+the driver. Texts that are null or hold no letter are `und` with score 0. Ties go to the language whose name comes first. With
+no labelled row, every text is `und`. Extra columns stay; those named like the result's own are replaced. Equal rows get
+equal results.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean
+from .shared import ddl, lean, private, quoted, without, written
 from .words import LETTERS, _mix, slices, word_hash, words_of
 
 ORDER = 4
@@ -39,7 +42,7 @@ class Model:
 
 
 def is_held_out(id_col: str, modulus: int, rest: int) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == rest, F.lit(False))
+    return F.coalesce(F.crc32(quoted(id_col).cast("string")) % modulus == rest, F.lit(False))
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -69,24 +72,46 @@ def gram_key(codes: np.ndarray) -> np.ndarray:
     return _mix(key)
 
 
+def gram_counts(words) -> Counter:
+    """(lang, n-gram) -> how often the (lang, word) hold it; n-grams of 1 to ORDER characters of the word between its marks."""
+    found: Counter = Counter()
+    for lang, word in words:
+        marked = BEGIN + word + END
+        found.update((lang, marked[at - size + 1 : at + 1]) for size in range(1, ORDER + 1) for at in range(max(1, size - 1), len(marked)))
+    return found
+
+
+def _grams(batches):
+    found: Counter = Counter()
+    for batch in batches:
+        found.update(gram_counts(zip(batch.column("lang").to_pylist(), batch.column("word").to_pylist(), strict=True)))
+    langs, grams = zip(*found, strict=True) if found else ((), ())
+    for k in range(0, len(langs), 1 << 17):
+        some = slice(k, k + (1 << 17))
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(langs[some], pa.string()), "gram": pa.array(grams[some], pa.string()), "n": pa.array(list(found.values())[some], pa.int64())})
+
+
 def fit(counts: list[tuple[str, str, int]], min_count: int = 3) -> Model:
     """A model of (lang, word, n). Words of fewer than min_count occurrences teach n-grams only."""
-    langs = sorted({lang for lang, _, _ in counts})
+    total: Counter = Counter()
+    for lang, _, n in counts:
+        total[lang] += n
+    grams = gram_counts((lang, word) for lang, word, _ in counts)
+    return model_of([x for x in counts if x[2] >= min_count], [(*k, n) for k, n in grams.items()], total)
+
+
+def model_of(known_words: list[tuple[str, str, int]], gram_rows: list[tuple[str, str, int]], totals: dict[str, int]) -> Model:
+    """A model of the known words (lang, word, n), the n-grams (lang, n-gram, n) and the words of each language. Longer n-grams
+    that occur only once are told by the shorter ones."""
+    langs = sorted(totals)
     place = {lang: i for i, lang in enumerate(langs)}
-    total = np.ones(len(langs))
+    total = np.ones(len(langs)) + [totals[lang] for lang in langs]
     words: dict[str, np.ndarray] = {}
-    grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(ORDER + 1)]
-    for lang, word, n in counts:
-        i = place[lang]
-        total[i] += n
-        if n >= min_count:
-            words.setdefault(word, np.zeros(len(langs)))[i] += n
-        marked = BEGIN + word + END
-        for size in range(ORDER + 1):  # size 0 counts characters
-            for at in range(1, len(marked)):
-                if at - size + 1 >= 0:
-                    grams[size][marked[at - size + 1 : at + 1]][i] += 1
-    grams[1][BEGIN] = grams[1][END].copy()  # as a context
+    grams: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
+    for lang, word, n in known_words:
+        words.setdefault(word, np.zeros(len(langs)))[place[lang]] += n
+    for lang, gram, n in gram_rows:
+        grams[len(gram)].setdefault(gram, np.zeros(len(langs)))[place[lang]] += n
     known = sorted(words)
     hashes = np.array([word_hash(w) for w in known], np.uint64) if len(known) < 1000 else words_of(pa.array(known), np.ones(256, bool)).hash
     scores = np.array([np.log(np.maximum(words[w], 0.5) / total) for w in known]).reshape(-1, len(langs))
@@ -94,14 +119,13 @@ def fit(counts: list[tuple[str, str, int]], min_count: int = 3) -> Model:
     context: list[dict] = [defaultdict(lambda: np.zeros(len(langs))) for _ in range(ORDER + 1)]
     for size in range(1, ORDER + 1):
         for gram, c in grams[size].items():
-            if gram != BEGIN:
-                context[size][gram[:-1]] += c
+            context[size][gram[:-1]] += c
     value: dict[str, np.ndarray] = {"": np.full(len(langs), log(1e-4))}
     keys, rows = [], []
     for size in range(1, ORDER + 1):
         own, out = [], []
         for gram, c in grams[size].items():
-            if gram == BEGIN or size > 1 and c.sum() < 2:
+            if size > 1 and c.sum() < 2:
                 continue
             back = value.get(gram[1:])
             shorter = gram[1:]
@@ -174,38 +198,47 @@ def scores_and_lengths(model: Model, column: pa.Array) -> tuple[np.ndarray, np.n
     return total[w.first[1:]] - total[w.first[:-1]], ends[w.first[1:]] - ends[w.first[:-1]]
 
 
-def train(docs: DataFrame, max_documents: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    able = docs.where(~is_held_out(id_col, 3, 1) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+def train(docs: DataFrame, max_documents: int = 20_000, min_count: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    able = docs.where(~is_held_out(id_col, 3, 1) & quoted(id_col).isNotNull() & quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
     n = able.select(F.lit(1)).count()
     if not n:
         return None
     share = min(1 << 20, int((1 << 20) * max_documents / n))
-    sample = able.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share)
-    counts = word_counts(sample.select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("text"))).where("n > 1 or length(word) < 4").toPandas()
-    return fit(list(counts.sort_values(["lang", "word"]).itertuples(index=False, name=None))) if len(counts) else None
+    sample = able.where(F.pmod(F.xxhash64(quoted(id_col).cast("string")), F.lit(1 << 20)) < share)
+    counts = written(word_counts(sample.select(quoted(lang_col).alias("lang"), F.lower(quoted(text_col)).alias("text"))), "word-counts")
+    rows = lambda df, *by: list(df.toPandas().sort_values(list(by)).itertuples(index=False, name=None))
+    totals = dict(rows(counts.groupBy("lang").agg(F.sum("n").alias("n")), "lang"))
+    if not totals:
+        return None
+    grams = counts.select("lang", "word").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return model_of(rows(counts.where(F.col("n") >= min_count), "lang", "word"), rows(grams, "lang", "gram"), totals)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", mean: bool = False) -> DataFrame:
     """docs with lang_pred and score; with `mean`, also mean_score, the best language's score for each character."""
-    names, extra = docs.columns, ["mean_score"] * mean
+    own = ["lang_pred", "score", *["mean_score"] * mean]
+    names = without(docs.columns, own, [text_col])
+    columns = [quoted(x) for x in names]
     if model is None:
-        return docs.select(*names, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *(F.lit(0.0).alias(x) for x in extra))
-    lang_word, has_letter = "__lowered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+        return docs.select(*columns, F.lit("und").alias("lang_pred"), *(F.lit(0.0).alias(x) for x in own[1:]))
+    low, letter = private(names, "lowered", "letter")
     sent = spark_model(docs, model)
 
     def run(batches):
         m = sent.value
         for batch in batches:
-            for part in slices(batch, lang_word):
-                scores, length = scores_and_lengths(m, part.column(lang_word))
+            for part in slices(batch, low):
+                scores, length = scores_and_lengths(m, part.column(low))
                 best = scores.argmax(1)
                 share = 1 / np.exp(np.minimum(scores - scores[np.arange(len(best)), best][:, None], 0)).sum(1)
-                letter = part.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
+                has = part.column(letter).to_numpy(zero_copy_only=False).astype(bool)
                 cols = [part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(letter, np.array(m.langs, object)[best], "und"), pa.string()), pa.array(np.where(letter, share, 0.0)), *[pa.array(scores.max(1) / np.maximum(length, 1))] * mean], names=[*names, "lang_pred", "score", *extra])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(has, np.array(m.langs, object)[best], "und"), pa.string()), pa.array(np.where(has, share, 0.0)), *[pa.array(scores.max(1) / np.maximum(length, 1))] * mean], names=[*names, *own])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double" + ", mean_score double" * mean
-    return docs.select("*", F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias(lang_word), has_letter.alias("__letter")).mapInArrow(lean(run), schema)
+    schema = ddl(docs.schema, names) + ", lang_pred string, score double" + ", mean_score double" * mean
+    text = quoted(text_col)
+    has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return docs.select(*columns, F.coalesce(F.lower(text), F.lit("")).alias(low), has_letter.alias(letter)).mapInArrow(lean(run), schema)
 
 
 def spark_model(docs: DataFrame, model):
