@@ -7,7 +7,8 @@ term falls below zero, its gradient is reversed.
 The training sample is bounded (documented parameters): about max_positives confirmed rows and max_unlabelled texts, chosen
 by a hash of the identifier. The prior is the share of toxic rows among all labelled training rows. Every whole text is
 scored. Null and empty texts score as texts without words. Without confirmed rows every score is 0. Rows with a null
-identifier teach nothing. Repeated labels of an identifier: toxic if any says so.
+identifier teach nothing. Repeated labels of an identifier: toxic if any says so. Extra columns stay; those named like the
+result's own are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import is_held_out
+from .shared import ddl, private, quoted, without
 from .words import LETTERS, slices, words_of
 
 BITS = 20
@@ -72,21 +74,30 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     weights, bias = np.zeros(len(chosen) + 1), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     weights[-1] = bias
     m, v = np.zeros_like(weights), np.zeros_like(weights)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
-    soft = lambda x: np.logaddexp(0, x)
-    margin = lambda row, col, n: np.bincount(row, weights[col], n) + weights[-1]
-    pull = lambda row, col, g: np.append(np.bincount(col, g[row], len(chosen)), g.sum())
     for t in range(1, steps + 1):
-        g_p, g_u = margin(row_p, col_p, n_p), margin(row_u, col_u, n_u)
-        negative = soft(g_u).mean() - prior * soft(g_p).mean()
-        toward = pull(row_u, col_u, sigmoid(g_u) / n_u) - pull(row_p, col_p, prior * sigmoid(g_p) / n_p)
-        grad = -toward if negative < 0 else pull(row_p, col_p, -prior * sigmoid(-g_p) / n_p) + toward
+        _, grad = risk_and_step(weights, (row_p, col_p, n_p), (row_u, col_u, n_u), prior)
         grad[:-1] += decay * weights[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         weights = weights - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Classifier(slot, weights[:-1], float(weights[-1]))
 
 
+def risk_and_step(weights: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[tuple[float, float], np.ndarray]:
+    """((risk of positives as positive, risk of negatives), direction to step against) of logistic loss; texts are (row of each
+    entry, feature of each entry, number of texts), the last weight is the bias. Where the risk of negatives is below zero,
+    the step undoes it."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+    soft = lambda x: np.logaddexp(0, x)
+    margin = lambda row, col, n: np.bincount(row, weights[col], n) + weights[-1]
+    pull = lambda row, col, g: np.append(np.bincount(col, g[row], len(weights) - 1), g.sum())
+    (row_p, col_p, n_p), (row_u, col_u, n_u) = positive, unlabelled
+    g_p, g_u = margin(row_p, col_p, n_p), margin(row_u, col_u, n_u)
+    negative = soft(g_u).mean() - prior * soft(g_p).mean()
+    toward = pull(row_u, col_u, sigmoid(g_u) / n_u) - pull(row_p, col_p, prior * sigmoid(g_p) / n_p)
+    step = -toward if negative < 0 else pull(row_p, col_p, -prior * sigmoid(-g_p) / n_p) + toward
+    return (prior * soft(-g_p).mean(), negative), step
+
+
 def score_batch(model: Classifier, column: pa.Array) -> np.ndarray:
     ids, first = hashed_words(column)
     at = model.slot[ids]
@@ -119,14 +130,15 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = 5_000, max_un
 
 def score(docs: DataFrame, model: Classifier, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted."""
-    names, low = docs.columns, "__lowered"
+    own = ["score", "predicted"]
+    names = without(docs.columns, own, [text_col])
+    (low,) = private(names, "lowered")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, low):
                 p = score_batch(sent.value, part.column(low))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, *own])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
-    return docs.select("*", F.coalesce(F.lower(F.col(text_col)), F.lit("")).alias(low)).mapInArrow(run, schema)
+    return docs.select(*map(quoted, names), F.coalesce(F.lower(quoted(text_col)), F.lit("")).alias(low)).mapInArrow(run, ddl(docs.schema, names) + ", score double, predicted int")
