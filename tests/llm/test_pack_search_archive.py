@@ -11,28 +11,87 @@ from tidelog.llm import packing, topk, warc
 from tidelog.llm.tokens import Encoder
 
 
-def test_solver_covers_the_histogram():
+def histograms():
     rng = random.Random(3)
-    for size in (1, 5, 400):
-        h = Counter(rng.choice([2048, rng.randrange(1, 2049), rng.randrange(1, 200)]) for _ in range(size))
-        plan = packing.solve(h)
+    yield from ({}, {5: 1}, {2048: 7}, {1: 100_000, 2048: 5}, {700: 1000, 690: 500, 1100: 300, 400: 77}, {1025: 10})
+    for low, high, n in ((1, 2048, 5), (1, 2048, 400), (700, 2048, 3000), (1, 300, 2000), (500, 800, 3000)):
+        yield Counter(rng.randrange(low, high + 1) for _ in range(n))
+    yield {x: 10**9 + x for x in range(3, 2000, 37)}
+
+
+def test_solver_covers_the_histogram():
+    """Every piece has its place, and the sequences are near the dual bound."""
+    for h in histograms():
+        plan, bound = packing.solve(h)
         got = Counter()
         for column, times in plan:
             assert sum(x * n for x, n in column.items()) <= 2048 and times > 0
             for x, n in column.items():
                 got[x] += n * times
-        assert got == h
-        used, total = sum(t for _, t in plan), sum(x * n for x, n in h.items())
-        assert used <= 1.25 * total / 2048 + 1 or used <= sum(n for x, n in h.items() if x > 1024) * 1.05 + 1
-    assert packing.solve({}) == []
+        assert got == Counter(h)
+        assert bound - 1e-6 <= sum(t for _, t in plan) <= 1.06 * bound + 2
+
+
+def test_bounds_hold_and_are_met():
+    rng = random.Random(5)
+    for h, used in (({700: 1000, 690: 500, 1100: 300}, 900), ({1025: 10}, 10), ({2048: 3, 1: 2048}, 4), ({683: 9}, 5)):
+        assert packing.solve(h)[1] == pytest.approx(used, abs=0.6) and sum(t for _, t in packing.solve(h)[0]) == used
+    for _ in range(40):  # small cases against an exhaustive search
+        h = Counter(rng.randrange(3, 20) for _ in range(rng.randrange(1, 8)))
+        items, least = sorted(h.elements(), reverse=True), [len(list(h.elements()))]
+
+        def search(k, rooms, items=items, least=least):
+            if len(rooms) >= least[0]:
+                return
+            if k == len(items):
+                least[0] = len(rooms)
+                return
+            for i, room in enumerate(rooms):
+                if room >= items[k] and room not in rooms[:i]:
+                    search(k + 1, [*rooms[:i], room - items[k], *rooms[i + 1 :]])
+            search(k + 1, [*rooms, 20 - items[k]])
+
+        search(0, [])
+        plan, bound = packing.solve(h, 20)
+        assert bound <= least[0] + 1e-9 and least[0] <= sum(t for _, t in plan) <= least[0] + 1
+
+
+def test_best_fit_is_best_fit():
+    """Against piece by piece, by falling length into the tightest room."""
+    rng = random.Random(6)
+    for _ in range(50):
+        h = Counter(rng.randrange(1, 60) for _ in range(rng.randrange(1, 200)))
+        rooms = []
+        for x in sorted(h.elements(), reverse=True):
+            fit = min((r for r in rooms if r[0] >= x), default=None, key=lambda r: r[0])
+            if fit is None:
+                fit = [100]
+                rooms.append(fit)
+            fit[0] -= x
+        got = packing.best_fit(h, 100)
+        assert Counter(100 - sum(a * b for a, b in c.items()) for c, t in got for _ in range(t)) == Counter(r[0] for r in rooms)
+
+
+def test_relaxation_never_covers_too_often():
+    for h in histograms():
+        if h:
+            mix, _ = packing.relaxed(h)
+            covered = Counter()
+            for column, amount in mix:
+                for x, n in column.items():
+                    covered[x] += n * amount
+            assert all(covered[x] <= n * (1 + 1e-6) for x, n in h.items())
 
 
 def test_knapsack_is_best():
-    lengths, price = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2])
-    got = packing.best_configuration(price, lengths, 15)
-    worth = sum(price[list(lengths).index(x)] * n for x, n in got.items())
-    best = max(a * 3.0 + b * 5.5 + c * 7.2 for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 15)
-    assert abs(worth - best) < 1e-9
+    rng = random.Random(2)
+    for _ in range(20):
+        lengths = np.array(sorted(rng.sample(range(2, 12), 3)))
+        price = np.array([rng.random() for _ in lengths])
+        got = packing.best_configuration(price, lengths, 25)
+        assert sum(x * n for x, n in got.items()) <= 25
+        best = max(a * price[0] + b * price[1] + c * price[2] for a in range(14) for b in range(10) for c in range(10) if a * lengths[0] + b * lengths[1] + c * lengths[2] <= 25)
+        assert sum(price[list(lengths).index(x)] * n for x, n in got.items()) == pytest.approx(best)
 
 
 def test_packing(spark):
