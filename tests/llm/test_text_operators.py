@@ -341,6 +341,33 @@ def test_classes_against_brute_force(spark, prose):
     assert got == brute_classes(rows)
 
 
+def test_bitmaps_count_all_bits():
+    """The bound is the number of differing bits, the top one of a word too."""
+    maps = np.zeros((2, jaccard.MAP_WORDS), np.int64)
+    maps[1, 0], maps[1, 3] = np.iinfo(np.int64).min + 32, -1
+    table = {"g": [1, 2], "n": [200, 200], "c": [1, 2], "lead": [False, False], "own": [0, 0], "low": [0, 0], "high": [0, 0], **{m: maps[:, k] for k, m in enumerate(jaccard._maps)}}
+    assert jaccard._across(75, False)(pa.table(table)).num_rows == 0  # 66 bits apart: 200 and 200 may differ by 57
+    maps[1, 3] = 0
+    assert jaccard._across(75, False)(pa.table(table | {m: maps[:, k] for k, m in enumerate(jaccard._maps)})).to_pydict() == {"a": [1], "b": [2]}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_long_lists_in_blocks(spark, prose, monkeypatch, parts):
+    """Lists longer than a block, under several partition counts; many rows without identifiers."""
+    monkeypatch.setattr(jaccard, "LIST", 5)
+    rng, rows = random.Random(21), []
+    common = prose(800, 60).split()
+    for i in range(90):
+        w = common[: rng.choice([60, 60, 30])] + [f"f{i // 3}x{k}" for k in range(rng.choice([0, 8, 16]))]
+        w[rng.randrange(len(w))] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in jaccard.classes(docs(spark, rows).repartition(parts)).collect())
+    assert got == brute_classes(rows)
+    assert len({c for *_, c in got}) > 2
+    none = jaccard.classes(docs(spark, [(None, t) for _, t in rows[:40]])).collect()
+    assert len(none) == 40 and all(r["component_id"] is None for r in none)
+
+
 def test_links_without_the_leader(spark):
     """Pairs that link with each other alone, among many texts that share their prefix tokens."""
     rows = []

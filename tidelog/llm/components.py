@@ -1,7 +1,7 @@
 """Connected components of a graph whose edges are a DataFrame, by alternating large-star and small-star steps.
 
 Every step joins edges with the least neighbour of their end (an aggregate with map-side combining), so no node's edges are
-collected in one place. Steps run until the edges stay the same; each is a written table.
+collected in one place. Steps run until the edges stay the same, however many that takes; each is a written table.
 """
 
 from __future__ import annotations
@@ -24,19 +24,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of the edges (a, b)."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     digest = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = now.agg(digest).first()[0]
     if not before[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(most_rounds):
+    while True:
         now = written(_star(written(_star(now, True), "large"), False), "small")
         after = now.agg(digest).first()[0]
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -9,11 +9,12 @@ bound on the symmetric difference, and share prefix tokens under the other order
 Classes without all pairs: equal sequences are one representative. Of each list only pairs with one member, its
 leader, are compared at first and their components found; then, for each two components that a list holds, the pair of
 nearest bitmaps; then all pairs of a list that still lie in different components. A pair left out lies in one
-component already, so components are exact.
+component already, so components are exact. A list of more than LIST texts is dealt into pairs of blocks, a task's work each.
 
 Lower-cases A-Z; words are runs of bytes other than space and \\t \\n \\v \\f \\r. Texts without words (null, empty) have size
 0 and stand alone. Texts are compared by 64-bit hashes of shingles. Rows that share an identifier are rows of their own and
-get the same class only if their texts link. Extra columns are ignored.
+get the same class only if their texts link; rows without one don't lend a class their identifier. A class of rows without
+identifiers has none. Extra columns are ignored. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lean, shuffle_partitions, written
+from .shared import ddl, lean, private, quoted, shuffle_partitions, written
 from .words import _mix, range_hashes, shingles_of, slices, words_of
 
 SIZE = 5
@@ -35,6 +36,10 @@ MEMBER = np.dtype([("g", "<i8"), ("n", "<i4")])
 MAP_WORDS = 16
 #: Postings that a task packs at once; bounds a worker's memory.
 POSTINGS = 1 << 20
+#: Set members that stand for one bucket of lists, about a quarter of which are posted.
+BUCKET = 1 << 22
+#: Texts of a list that meet in one task.
+LIST = 4096
 SKETCH_BLOCK = 1 << 16
 _U = np.uint64
 _maps = [f"m{i}" for i in range(MAP_WORDS)]
@@ -72,12 +77,12 @@ def _profile(width: int):
                         np.add.at(counts, (s >> _U(20)).astype(np.int64) & (width - 1), 1)
                 sizes = np.array([len(s) for s in sets], np.int32)
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sig), pa.array(sizes), *(pa.array(maps[:, k]) for k in range(MAP_WORDS)), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary())], names=["doc_id", "sig", "n", *_maps, "block", "blob"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(sig), pa.array(sizes), *(pa.array(maps[:, k]) for k in range(MAP_WORDS)), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary())], names=["doc_id", "key", "sig", "n", *_maps, "block", "blob"])
         blocks = [(k, counts[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK]) for k in range(width // SKETCH_BLOCK)]
         blocks = [(k, zlib.compress(np.minimum(b, 65535).astype("<u2").tobytes(), 1)) for k, b in blocks if b.any()]
         if blocks:
-            none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * MAP_WORDS)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["doc_id", "sig", "n", *_maps, "block", "blob"])
+            none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * MAP_WORDS)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=["doc_id", "key", "sig", "n", *_maps, "block", "blob"])
 
     return run
 
@@ -208,19 +213,20 @@ def _nearest(found: np.ndarray) -> np.ndarray:
 
 
 def _across(percent: int, best: bool):
-    """Pairs of a list that lie in different components, haven't been compared with the leader, and pass the bitmaps. With
-    `best`, for each two components only the pair of the nearest bitmaps."""
+    """Pairs of two blocks of a list (or of one) that lie in different components, haven't been compared with the leader, and
+    pass the bitmaps. With `best`, for each two components only the pair of the nearest bitmaps."""
 
     def run(table: pa.Table) -> pa.Table:
-        g, n, c, lead = (table.column(x).to_numpy() for x in ("g", "n", "c", "lead"))
+        g, n, c, lead, own = (table.column(x).to_numpy() for x in ("g", "n", "c", "lead", "own"))
+        alone = own.min() == own.max() == table.column("low")[0].as_py() == table.column("high")[0].as_py()
         maps = np.stack([table.column(m).to_numpy() for m in _maps], 1).view(_U)  # of signed values numpy counts the bits of the absolute one
         order = np.argsort(n, kind="stable")
-        g, n, c, lead, maps = g[order], n[order].astype(np.int64), c[order], lead[order], maps[order]
+        g, n, c, lead, own, maps = g[order], n[order].astype(np.int64), c[order], lead[order], own[order], maps[order]
         out, size = [], 0
         top = np.searchsorted(percent * n, 100 * n, "right")  # sizes up to n * 100 / percent
         for i in np.flatnonzero(~lead):
             j = np.arange(i + 1, top[i])
-            j = j[(c[j] != c[i]) & ~lead[j]]
+            j = j[(c[j] != c[i]) & ~lead[j] & (alone | (own[j] != own[i]))]
             if not len(j):
                 continue
             apart, total = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64), n[j] + n[i]
@@ -264,20 +270,22 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 class Join:
     def __init__(self, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.percent = docs.sparkSession, percent
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        text = F.coalesce(quoted(text_col), F.lit(""))
+        self.docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
         width = sketch_width(self.docs.select(F.lit(1)).count())
-        kinds = "doc_id long, sig long, n int, " + ", ".join(f"{m} long" for m in _maps) + ", block int, blob binary"
+        kinds = "doc_id long, key long, sig long, n int, " + ", ".join(f"{m} long" for m in _maps) + ", block int, blob binary"
         found = written(self.docs.mapInArrow(lean(_profile(width)), kinds), "profile")
-        self.rows = found.where("block < 0").select("doc_id", "sig", "n", *_maps)
+        self.rows = found.where("block < 0").select("doc_id", "key", "sig", "n", *_maps)
         merged = found.where("block >= 0").select("block", "blob").groupBy("block").applyInArrow(_merge_sketch, "block int, level binary")
         levels = np.zeros(width, np.uint8)
         for k, x in merged.collect():  # `width` bytes at most
             levels[k * SKETCH_BLOCK : (k + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(x), np.uint8)
         self.levels = self.spark.sparkContext.broadcast(levels)
-        self.reps = written(self.rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _maps)), "reps")
+        self.reps = written(self.rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "key")).alias("of"), F.first("n").alias("n"), *(F.first(m).alias(m) for m in _maps)), "reps")
 
     def lists(self) -> DataFrame:
-        buckets = 4 * shuffle_partitions(self.spark)
+        size = self.rows.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+        buckets = max(4 * shuffle_partitions(self.spark), size // BUCKET)
         posted = self.docs.mapInArrow(lean(_post(self.levels, buckets, self.percent)), "bucket long, blob binary")
         lists = posted.groupBy("bucket").applyInArrow(_lists(self.percent), "list long, m int, leader long, members binary")
         return written(lists.dropDuplicates(["list"]), "lists")
@@ -294,15 +302,15 @@ class Join:
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Links among pairs, a written table."""
         need = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-        of = written(need.join(self.reps, F.col("need") == F.col("sig")).select("sig", F.col("doc_id").alias("of_id")), f"{name}-need")
+        of = written(need.join(self.reps, F.col("need") == F.col("sig")).select("sig", F.col("of.doc_id").alias("of_id"), F.col("of.key").alias("of_key")), f"{name}-need")
 
-        def same(batches):  # several rows may share the identifier
+        def same(batches):  # several rows may share the identifier and the text's hash
             for batch in batches:
                 for part in slices(batch, "text"):
                     keep = signatures(words_of(part.column("text"))) == part.column("sig").to_numpy()
                     yield part.filter(pa.array(keep, pa.bool_()))
 
-        texts = self.docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_id"))).select("sig", "text").mapInArrow(lean(same), "sig long, text string")
+        texts = self.docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).select("sig", "text").mapInArrow(lean(same), "sig long, text string")
         texts = written(texts.dropDuplicates(["sig"]), f"{name}-texts")
         side = lambda x: texts.select(F.col("sig").alias(x), F.col("text").alias(f"text_{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
@@ -320,9 +328,13 @@ class Join:
         # first the likeliest pair of two components of a list, then all that are still open
         for best in (True, False):
             marked = written(members.join(known, members["g"] == known["node"], "left").select("list", "g", "n", "lead", F.coalesce("component", "g").alias("c")), "marked")
-            open_ = written(marked.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("list").alias("of")), "open")
-            rest = marked.join(open_, marked["list"] == open_["of"]).join(maps, F.col("g") == F.col("of_sig")).select("list", "g", "n", "lead", "c", *_maps)
-            pairs = rest.groupBy("list").applyInArrow(_across(self.percent, best), "a long, b long").distinct()
+            open_ = written(marked.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select(F.col("list").alias("of"), "m"), "open")
+            rest = marked.join(open_, marked["list"] == open_["of"]).join(maps, F.col("g") == F.col("of_sig")).select("list", "m", "g", "n", "lead", "c", *_maps)
+            # a member of a long list goes to its own block with each block
+            blocks = F.ceil(F.col("m") / LIST).cast("int")
+            dealt = rest.withColumn("own", F.pmod(F.col("g"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+            pairs = dealt.groupBy("list", "low", "high").applyInArrow(_across(self.percent, best), "a long, b long").distinct()
             pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "rest-pairs")
             tested = pairs
             more = self.verified(pairs, "rest")
@@ -352,25 +364,26 @@ def classes(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
 def distinct(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class: that of the least identifier (rows without one last), then of the least word-sequence
     signature, then of the least columns. Rows are told apart by identifier and signature. Rows without words all stay."""
-    join = Join(docs, percent, id_col, text_col)
+    join, names = Join(docs, percent, id_col, text_col), docs.columns
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("k")
     keep = written(join.labels().groupBy("c").agg(first).select(F.col("k.doc_id").alias("keep_id"), F.col("k.sig").alias("keep_sig")), "keep")
-    many = written(join.rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id IS NULL OR rows > 1").select(F.col("doc_id").alias("gone")), "many")
-    gone = join.rows.where("n > 0").join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col("sig") == F.col("keep_sig")), "left_anti").select(F.col("doc_id").alias("gone"))
-    own = docs[id_col].cast("long")
-    once = docs.join(written(gone.union(many).distinct(), "gone"), own.eqNullSafe(F.col("gone")), "left_anti")
+    many = written(join.rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id IS NULL OR rows > 1").select("doc_id"), "many")
+    gone = join.rows.where("n > 0").join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col("sig") == F.col("keep_sig")), "left_anti").select("doc_id")
+    out, sig, words, keep_id, keep_sig, row = private(names, "gone", "sig", "words", "keep_id", "keep_sig", "row")
+    own = quoted(id_col).cast("long")
+    once = docs.join(written(gone.union(many).distinct(), "gone").select(F.col("doc_id").alias(out)), own.eqNullSafe(F.col(out)), "left_anti")
     if many.isEmpty():
         return once
-    shared, names = docs.join(many, own.eqNullSafe(F.col("gone")), "left_semi"), docs.columns
+    shared = docs.join(many.select(F.col("doc_id").alias(out)), own.eqNullSafe(F.col(out)), "left_semi")
 
     def signed(batches):
         for batch in batches:
             for part in slices(batch, text_col):
                 w = words_of(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signatures(w)), pa.array(np.diff(w.first) > 0)], names=[*names, "__sig", "__words"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signatures(w)), pa.array(np.diff(w.first) > 0)], names=[*names, sig, words])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __sig long, __words boolean"
-    marked = written(shared.mapInArrow(lean(signed), kinds), "shared")
-    kept = marked.where("__words").join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__sig") == F.col("keep_sig")))
-    kept = kept.groupBy("keep_id", "keep_sig").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
-    return once.union(kept).union(marked.where("NOT __words").select(*names))
+    marked = written(shared.mapInArrow(lean(signed), ddl(docs.schema, names) + f", {sig} long, {words} boolean"), "shared")
+    kept = keep.select(F.col("keep_id").alias(keep_id), F.col("keep_sig").alias(keep_sig))
+    kept = marked.where(words).join(kept, own.eqNullSafe(F.col(keep_id)) & (F.col(sig) == F.col(keep_sig)))
+    kept = kept.groupBy(keep_id, keep_sig).agg(F.min(F.struct(*map(quoted, names))).alias(row)).select(f"{row}.*")
+    return once.union(kept).union(marked.where(~F.col(words)).select(*map(quoted, names)))
