@@ -61,7 +61,7 @@ def _groups(tokenizer: str | None, file_ids: int, file_docs: int):
             return row
 
         for batch in batches:
-            for some in slices(batch, "text", 2 << 20):
+            for some in slices(batch, "text"):
                 ids, offsets = e.encode(some.column("text"))
                 table = np.zeros(len(some), DOC)
                 table["known"] = ~some.column("doc_id").is_null().to_numpy(zero_copy_only=False)
