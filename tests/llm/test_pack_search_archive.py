@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -137,6 +138,7 @@ def test_top_k_against_brute_force(spark, scale):
     rows += [(300 + i, rows[3][1]) for i in range(40)] + [(400, None), (450, []), (451, [None] * 8), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (600, [1.0, 2.0]), (601, [2.0, 2.0]), (None, rows[1][1]), (650, [0.0] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = topk.top_k(df, 50, 5, bucket_rows=32, block_queries=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(rows, 50, 5)
     assert topk.top_k(df.limit(0)).count() == 0
 
@@ -161,6 +163,7 @@ def test_archive(spark):
     for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         first.setdefault(h or "", i)
     assert len(index) == len(rows)
+    names, refers = {}, []
     for r in index:
         if r["page_id"] is None:
             continue
@@ -169,9 +172,28 @@ def test_archive(spark):
         assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first[html] == r["page_id"] else ("revisit", first[html]))
         headers, block = warc.read_record(r)
-        assert headers["WARC-Record-ID"] == f"<urn:page:{r['page_id']}>"
+        assert headers["X-Page-ID"] == str(r["page_id"]) and re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", headers["WARC-Record-ID"])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", headers["WARC-Date"])
+        names[r["page_id"], r["payload_digest"]] = headers["WARC-Record-ID"]
+        if r["record_type"] == "revisit":
+            refers.append((headers["WARC-Refers-To"], (r["refers_to"], r["payload_digest"])))
         if r["record_type"] == "response":
             assert block.split(b"\r\n\r\n", 1)[1] == raw
+    assert len(refers) == 3 and all(names[k] == x for x, k in refers) and len(set(names.values())) == len(names)
     assert warc.archive(df.limit(0)).count() == 0
     kept = warc.archive(df, least=10).where("record_type = 'revisit'").collect()
     assert {r["page_id"] for r in kept} == {7}
+
+
+def test_rows_that_share_an_identifier(spark):
+    """Every row is a query of its own (equal rows one) and a candidate of its own for the other identifiers."""
+    rng = np.random.default_rng(17)
+    rows = [(i, (rng.normal(size=4) * 3).tolist()) for i in range(60)]
+    rows += [(50, rows[7][1]), (50, rows[50][1]), (0, rows[9][1]), (8, rows[8][1]), (8, rows[11][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, 50, 5, bucket_rows=8).collect())
+    whole, want = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows], []
+    for i, v in {(i, tuple(v)) for i, v in whole if i % 50 == 0}:
+        found = sorted((-int(np.array(v) @ w), j) for j, w in whole if j != i)[:5]
+        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(found)]
+    assert got == sorted(want)

@@ -297,9 +297,46 @@ def test_reordered_leaks_are_found(spark, prose):
     small = decontam.leaks(docs(spark, rows), bench, block_tokens=1)
     assert sorted((r["doc_id"], r["item_id"]) for r in small.collect()) == got
     assert decontam.leaks(docs(spark, rows), bench.limit(0)).count() == 0
+    assert decontam.clean(docs(spark, rows), bench.limit(0)).count() == len(rows)
+    assert sorted(r["doc_id"] for r in decontam.clean(docs(spark, rows), bench, block_tokens=1).collect()) == [3, 4, 5]
     assert decontam.leaks(docs(spark, []), bench).count() == 0
 
 
+def test_leaks_against_brute_force(spark, prose):
+    """The whole query: every text against every item, without seeds or blocks; very long texts too."""
+    rng, items = random.Random(31), []
+    for i in range(14):
+        items.append((i, prose(i, rng.choice([3, 5, 12, 40, 60]))))
+    items += [(20, items[4][1]), (20, items[4][1]), (21, None), (22, "?!"), (23, "One two")]
+    rows = []
+    for d in range(60):
+        w = prose(500 + d, rng.randrange(0, 60)).split()
+        for _ in range(rng.randrange(3)):
+            x = rng.choice(items[:14])[1].split()
+            cut = rng.randrange(len(x) + 1)
+            w += rng.choice([x, x[cut:] + w[:2] + x[:cut], x[: len(x) // 2]])
+        rows.append((d // 2, " ".join(w).upper() if d % 3 else ", ".join(w)))
+    rows += [(99, None), (98, ""), (None, items[3][1]), (97, "one TWO"), (96, prose(9, 20_000) + " " + items[5][1])]
+    bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
+    words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    want = Counter()
+    for i, t in rows:
+        b = words(t)
+        for k, x in items:
+            a = words(x)
+            if not a or len(b) > 1000 and k != 5:
+                continue
+            tiles = brute_tiles(a, b[-200:], min(5, len(a)))
+            covered = sum(n for *_, n in tiles)
+            if covered >= 0.5 * len(a):
+                want[i, k, len(a), covered, len(tiles)] += 1
+    columns = ["doc_id", "item_id", "tokens", "covered", "tiles"]
+    for options in ({}, {"block_tokens": 100}):
+        got = decontam.leaks(docs(spark, rows), bench, **options).select(*columns).collect()
+        assert Counter(tuple(r) for r in got if r["doc_id"] != 96 or r["item_id"] == 5) == want
+    assert len(want) > 20
+
+
 # near copies
 
 

@@ -5,9 +5,11 @@ joined with them on their hashes, item by item candidates follow. For a candidat
 repeatedly marks the longest non-overlapping common runs, down to min_match tokens, in any order of the passages; the item
 counts as leaked if the tiles cover at least `coverage` of its tokens (a shorter item: its whole sequence).
 
-The benchmark is read in blocks of at most block_tokens tokens, so what is sent to the workers has a fixed bound; each
-further block is another pass over the corpus. Null and empty texts match nothing; items without tokens are never leaked;
-repeated items and rows are reported each.
+The benchmark is read in blocks of at most block_tokens tokens, one after the other: what the driver holds and the workers
+get has a fixed bound, and a block's results are written before the next is read. Each further block is another pass over the
+corpus. Null and empty texts match nothing and stay; items without tokens are never leaked; repeated items and rows are
+reported each, and each row is decided on its own. Extra columns are ignored, or stay where rows do. Empty tables give no
+leak.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted, written
 from .words import ALNUM, range_hashes, slices, words_of
 
 RESULT = "doc_id long, item_id long, tokens int, covered int, coverage double, tiles int"
@@ -132,13 +135,31 @@ class Block:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_tokens: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, tokens, covered, coverage, tiles) of each leaked item and the text that holds it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = [rows.mapInArrow(_tiler(rows.sparkSession.sparkContext.broadcast(x)), RESULT) for x in _blocks(benchmark, item_col, item_text_col, block_tokens, min_match, coverage)]
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
+    parts = []
+    for block, last in _with_last(_blocks(benchmark, item_col, item_text_col, block_tokens, min_match, coverage)):
+        sent = rows.sparkSession.sparkContext.broadcast(block)
+        part = rows.mapInArrow(_tiler(sent), RESULT)
+        if not last:
+            part = written(part, "leaks")
+            sent.destroy()
+        parts.append(part)
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], RESULT)
 
 
+def _with_last(items):
+    """(item, whether it is the last) of an iterator."""
+    held = None
+    for x in items:
+        if held is not None:
+            yield held, False
+        held = x
+    if held is not None:
+        yield held, True
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_tokens: int, min_match: int, coverage: float):
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy("i", "t")
+    items = benchmark.select(quoted(item_col).cast("long").alias("i"), F.coalesce(quoted(text_col), F.lit("")).alias("t")).orderBy("i", "t")
     held, size = [], 0
     for i, t in items.toLocalIterator():
         n = len(t) // 2 + 1
@@ -163,18 +184,22 @@ def _tiler(sent):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose text holds a leaked item; decided in the scan itself, as one pass with no join."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    blocks = [docs.sparkSession.sparkContext.broadcast(x) for x in _blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), options.get("block_tokens", 1_000_000), options.get("min_match", 5), options.get("coverage", 0.5))]
-    del id_col
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_tokens: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose text holds a leaked item; decided in the scan itself, with no join."""
 
-    def run(batches, sent):
-        for batch in batches:
-            for part in slices(batch, text_col):
-                bad = {t for t, *_ in sent.value.search(part.column(text_col))}
-                yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
+    def run(sent):
+        def keep(batches):
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    bad = {t for t, *_ in sent.value.search(part.column(text_col))}
+                    yield part.take(pa.array([i for i in range(part.num_rows) if i not in bad], pa.int64()))
+
+        return keep
 
-    for sent in blocks:
-        docs = docs.mapInArrow(lambda batches, sent=sent: run(batches, sent), docs.schema)
+    for block, last in _with_last(_blocks(benchmark, item_col, item_text_col, block_tokens, min_match, coverage)):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(run(sent), docs.schema)
+        if not last:
+            docs = written(docs, "clean")
+            sent.destroy()
     return docs
