@@ -7,8 +7,10 @@ intervals; else length pruning keeps candidates long enough to reach the score.
 
 Queries are taken in blocks of bounded size, each broadcast and run over all buckets. Rows whose vector is null, empty, or
 holds null or non-finite components take no part; products are defined between vectors of equal dimension only. Repeated
-vectors tie and come in order of identifier. Rows without an identifier take no part. Components are taken as
-floor(256 * x); results are exact while products stay below 2^53 in magnitude.
+vectors tie and come in order of identifier. Rows without an identifier take no part. Rows that share an identifier are
+queries of their own (equal rows are one query) and candidates of their own for other identifiers' queries, never for each
+other's. Components are taken as floor(256 * x); results are exact while products stay below 2^53 in magnitude. Extra columns
+are ignored. An empty table, or one without queries, gives no row.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, written
+from .shared import quoted, shuffle_partitions, written
 
 SCALE = 256
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, query long, vec_id long, score long"
 BLOCKS = "dim int, n int, least double, most double, ids binary, matrix binary"
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v array<double> of whole numbers, norm2), of the rows that take part."""
-    usable = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: F.rint(F.floor(x.cast("double") * SCALE).cast("double"))).alias("v"))
+    usable = quoted(id_col).isNotNull() & quoted(vec_col).isNotNull() & (F.size(quoted(vec_col)) > 0) & F.forall(quoted(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.where(F.coalesce(usable, F.lit(False))).select(quoted(id_col).cast("long").alias("vec_id"), F.transform(quoted(vec_col), lambda x: F.rint(F.floor(x.cast("double") * SCALE).cast("double"))).alias("v"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 
 
@@ -104,22 +106,22 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(queries: dict, floor: dict, k: int):
-    """mapInArrow function over buckets. queries: dimension -> (ids, matrix); floor: query id -> a score that k candidates
-    reach for sure."""
+    """mapInArrow function over buckets. queries: dimension -> (identifiers, numbers, matrix); floor: a query's number -> a
+    score that k candidates reach for sure."""
 
     def search(batches):
-        top: dict = {}  # query id -> (ids, scores), the best so far of this task
+        top: dict = {}  # a query's number -> (identifier, ids, scores), the best so far of this task
         for batch in batches:
             for dim, n, _, most, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if dim not in queries:
                     continue
                 ids, m = np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.float64).reshape(n, dim)
                 norm = np.sqrt((m * m).sum(1))
-                for q_id, q in zip(*queries[dim], strict=True):
-                    have = top.get(q_id)
-                    beat = floor.get(q_id, -np.inf)
-                    if have is not None and len(have[0]) >= k:
-                        beat = max(beat, float(have[1][-1]))
+                for q_id, number, q in zip(*queries[dim], strict=True):
+                    have = top.get(number)
+                    beat = floor.get(number, -np.inf)
+                    if have is not None and len(have[1]) >= k:
+                        beat = max(beat, float(have[2][-1]))
                     keep = survivors(q, m, norm, beat)
                     if not len(keep):
                         continue
@@ -128,12 +130,12 @@ def _search(queries: dict, floor: dict, k: int):
                     if found.any():
                         a, b = ids[keep][found], scores[found].astype(np.int64)
                         if have is not None:
-                            a, b = np.concatenate([have[0], a]), np.concatenate([have[1], b])
+                            a, b = np.concatenate([have[1], a]), np.concatenate([have[2], b])
                         at = best(a, b, k)
-                        top[q_id] = (a[at], b[at])
+                        top[number] = (q_id, a[at], b[at])
         if top:
-            names = np.repeat(np.array(list(top), np.int64), [len(a) for a, _ in top.values()])
-            yield pa.RecordBatch.from_pydict({"query_id": names, "vec_id": np.concatenate([a for a, _ in top.values()]), "score": np.concatenate([b for _, b in top.values()])})
+            sizes = [len(a) for _, a, _ in top.values()]
+            yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([q for q, _, _ in top.values()], np.int64), sizes), "query": np.repeat(np.array(list(top), np.int64), sizes), "vec_id": np.concatenate([a for _, a, _ in top.values()]), "score": np.concatenate([b for _, _, b in top.values()])})
 
     return search
 
@@ -143,21 +145,26 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str = "
     spark = vectors.sparkSession
     rows = integer_vectors(vectors, id_col, vec_col)
     buckets = written(norm_buckets(rows, bucket_rows), "buckets")
-    queries = written(rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "v").repartitionByRange(max(1, shuffle_partitions(spark)), "vec_id"), "queries")
+    asked = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "v").distinct()
+    queries = written(asked.repartitionByRange(max(1, shuffle_partitions(spark)), "vec_id"), "queries")
     starts = _block_starts(queries, block_queries)
-    parts = []
+    parts, numbered = [], 0
     for low, high in zip(starts, [*starts[1:], None], strict=False):
         part = queries.where(F.col("vec_id") >= low)
         block = (part if high is None else part.where(F.col("vec_id") < high)).toArrow()
-        of = {d: (np.concatenate([i for i, _ in x]), np.concatenate([m for _, m in x])) for d, x in _by_dim(block).items()}
-        #: A first pass over the longest vectors of each dimension gives every query a score that is reached for sure.
+        of: dict = {}
+        for dim, found in _by_dim(block).items():
+            ids, m = np.concatenate([i for i, _ in found]), np.concatenate([m for _, m in found])
+            of[dim] = ids, np.arange(numbered, numbered + len(ids)), m
+            numbered += len(ids)
+        # a first pass over the longest vectors gives every query a score that is reached for sure
         head = buckets.orderBy(F.desc("most")).limit(2).mapInArrow(_search(of, {}, k), RESULT)
-        floor = {r[0]: float(r[1]) for r in head.groupBy("query_id").agg(F.collect_list("score").alias("s")).select("query_id", F.when(F.size("s") >= k, F.sort_array("s", False)[k - 1])).collect() if r[1] is not None}
+        floor = {r[0]: float(r[1]) for r in head.groupBy("query").agg(F.collect_list("score").alias("s")).select("query", F.when(F.size("s") >= k, F.sort_array("s", False)[k - 1])).collect() if r[1] is not None}
         parts.append(buckets.mapInArrow(_search(of, floor, k), RESULT))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = reduce(DataFrame.union, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
