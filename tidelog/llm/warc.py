@@ -7,7 +7,8 @@ index maps a record's identifier to (bundle, frame, offset within the frame's co
 Payloads of equal digest and size are stored once: the record with the smallest identifier is the response, the others are
 revisits that refer to it. Nulls count as empty payloads. Identifiers that repeat are kept as records of their own; rows
 whose identifier is null are written as responses and never referred to by rows with an identifier, as they come last in
-order. Extra columns of the input are ignored. An empty table gives no bundle.
+order. A record's own identifier is a UUID made from the page's identifier and the payload's digest, so only equal rows
+share one. Extra columns of the input are ignored. An empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +45,12 @@ def with_origin(pages: DataFrame, id_col: str, url_col: str, payload_col: str, l
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str) -> str:
+    """The identifier of a page's record."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """A WARC/1.1 record; a revisit has no payload, but its length and digest among the headers."""
     kind = "response" if refers_to is None else "revisit"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
@@ -50,15 +58,17 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
-        head[3:3] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head[4:4] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -95,9 +105,10 @@ class Bundle:
         return b"".join(self.frames) + struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table
 
 
-def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, bundle_bytes: int = 32 << 20) -> DataFrame:
+def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, bundle_bytes: int = 32 << 20, date: str | None = None) -> DataFrame:
     """Writes the archives and returns the manifest, a written table with a row for each finished bundle. Payloads of at
-    least `least` bytes are de-duplicated."""
+    least `least` bytes are de-duplicated. `date` is when the pages were got (the present time if not given)."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
         bundle, done = Bundle(), []
@@ -107,7 +118,7 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bundle.add(record_bytes(page_id, url, payload.encode(), base64.b32encode(bytes.fromhex(digest)).decode(), refers_to))
+                bundle.add(record_bytes(page_id, url, payload.encode(), base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, date))
                 if bundle.size >= bundle_bytes:
                     finish()
                     bundle = Bundle()
@@ -160,8 +171,10 @@ def described(headers: dict[str, str], block: bytes) -> dict:
         payload = block.split(b"\r\n\r\n", 1)[1]
         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
             raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
-    number = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:>" else None
-    return {"page_id": number(headers["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number(headers.get("WARC-Refers-To"))}
+    page, refers_to = (int(x) if x else None for x in (headers["X-Page-ID"], headers.get("X-Refers-To-Page")))
+    if headers["WARC-Record-ID"] != record_id(page, digest) or kind == "revisit" and headers["WARC-Refers-To"] != record_id(refers_to, digest):
+        raise ValueError(f"headers of {headers['WARC-Record-ID']} are damaged")
+    return {"page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers_to}
 
 
 def read_index(manifest: DataFrame) -> DataFrame:
