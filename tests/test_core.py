@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidelog import config
 from tidelog.functions import codecs, hashing
 from tidelog.operators import compaction, dictionary, log, merkle, prefix_sum, runs, scan, simhash, sketches, stateful
-from tidelog.sources import wal
+from tidelog.sources import folders, states, wal, wal_files
 from tidelog.sources.store import Store
 
 SCHEMA = "key string, value string, tombstone boolean, ts timestamp_ntz, seq bigint"
@@ -199,6 +199,113 @@ def test_token_bucket_and_ring():
     assert stateful.ring_flushes(list("abcdef"), 2, 2) == [(0, 3, 2), (1, 5, 2)]
 
 
+def test_ordered_sums_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), f"k{i:05d}", rng.randrange(9)) for i in range(2000)] + [(None, "x", 4)]
+    rng.shuffle(rows)
+    got = prefix_sum.ordered_sums(spark.createDataFrame(rows, "g string, k string, n int"), ["g"], "k", before=F.col("n"), at=F.lit(1)).collect()
+    want = {}
+    for g, k, n in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(g, []).append((k, n))
+    assert len(got) == len(rows)
+    for r in got:
+        own = want[r["g"]]
+        assert own[r["at"]] == (r["k"], r["n"]) and r["before"] == sum(n for _, n in own[: r["at"]])
+    assert prefix_sum.ordered_sums(spark.createDataFrame([], "k string, n int"), [], "k", before=F.col("n")).count() == 0
+
+
+def test_lookup_chain_checks_values(spark, rows):
+    flushed = runs.flush(runs.daily(frame(spark, rows)))
+    check = F.crc32(F.encode("value", "UTF-8"))
+    bad = flushed.withColumn("crc", F.when(F.col("key") == "k03", check + 1).otherwise(check))
+    probes = spark.createDataFrame([(f"k{i:02d}",) for i in range(40)] + [(None,)], "key string")
+    got = {(r["run_id"], r["key"]): r["value"] for r in runs.lookup_chain(bad, probes, 200, 3).collect()}
+    assert got == {(r["run_id"], r["key"]): r["value"] for r in flushed.collect() if not r["tombstone"] and r["key"] != "k03"}
+
+
+def test_arrival_pushes_down(spark):
+    made = lambda a, b, tag, s: frame(spark, [(f"k{i:03d}", f"{tag}{i}" * 5, False, s + i) for i in range(a, b)])
+    c = config.EngineConfig(leveled_base_bytes=1500, leveled_run_bytes=300, max_levels=3)
+    levels = compaction.leveled(made(0, 100, "old", 0).withColumn("run_id", F.lit(1)).withColumn("level", F.lit(1)), c)
+    after = compaction.pushed_down(levels, made(50, 90, "new", 500), c).cache()
+    sizes = {r["level"]: r["b"] for r in after.groupBy("level").agg(F.sum(F.lit(25) + F.octet_length("key") + F.octet_length("value")).alias("b")).collect()}
+    assert sizes[1] <= 1500 + 300 and sizes[2] <= 3000 + 300
+    assert after.groupBy("level", "key").count().where("count > 1").isEmpty()
+    first = {}
+    for r in after.orderBy("level").collect():
+        first.setdefault(r["key"], r["value"])
+    assert first == {f"k{i:03d}": (f"new{i}" if 50 <= i < 90 else f"old{i}") * 5 for i in range(100)}
+    kept = compaction.pushed_down(after, made(0, 0, "none", 0), c)
+    assert kept.count() == after.count()
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["ada", "bea", "cal", "dot", "eve", "fay"]) for _ in range(6))
+    docs = spark.createDataFrame([(i, text()) for i in range(30)] + [(50, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text()) for i in range(25)] + [(None, "x")], "item long, text string")
+    whole = simhash.nearest(docs, items, "doc_id", "item").orderBy("doc_id").collect()
+    assert simhash.nearest(docs, items, "doc_id", "item", block=4).orderBy("doc_id").collect() == whole and len(whole) == 31
+    prints = {r[0]: r[1] for r in simhash.fingerprint(items, "item").collect()}
+    own = {r[0]: r[1] for r in simhash.fingerprint(docs, "doc_id").collect()}
+    for r in whole:
+        apart = lambda i, d=r["doc_id"]: sum(a != b for a, b in zip(own[d], prints[i], strict=True))
+        assert (r["distance"], r["item"]) == min((apart(i), i) for i in range(25))
+    assert simhash.nearest(docs, items.limit(0), "doc_id", "item").count() == 0
+
+
+def test_states_keep_their_kind(spark, tmp_path):
+    path, cells = f"file://{tmp_path}/state", spark.createDataFrame([(0, 3, 7)], "row int, bucket long, cnt long")
+    states.save(cells, path, "frequencies", m=10, k=1)
+    assert states.load(spark, path, "frequencies", k=1, m=10).collect() == cells.collect()
+    for kind, parameters in (("frequencies", {"m": 11, "k": 1}), ("registers", {"m": 10, "k": 1})):
+        with pytest.raises(ValueError):
+            states.load(spark, path, kind, **parameters)
+
+
+def test_log_on_files(spark, tmp_path, rows):
+    log_ = wal.seconds(frame(spark, rows))
+    files = wal_files.LogFiles(spark, f"file://{tmp_path}/log", config.EngineConfig(wal_segment_records=40, wal_segment_bytes=600))
+    assert files.segments() == [] and files.recover().count() == 0
+    files.append(log_.where("seq < 100"))
+    first = files.segments()
+    again = wal_files.LogFiles(spark, files.root, files.config)
+    again.append(log_.where("seq >= 100"))
+    assert first == list(range(1, len(first) + 1)) and again.segments()[: len(first)] == first
+    sizes = [29 + len(k) + len(v) for k, v, _, _ in rows]
+    assert again.end() == sum(sizes)
+    listed = wal_files.listing(again.rows()).orderBy("segment").collect()
+    assert sum(r["n_records"] for r in listed) == 300 and all(r["n_records"] <= 40 and r["bytes"] <= 600 + 40 for r in listed)
+    skip = sum(sizes[:130]) + 5  # ends within a record
+    gone = again.truncate(skip)
+    assert gone and again.segments()[0] == gone[-1] + 1
+    assert {r["seq"] for r in again.replay().collect()} == set(range(131, 300))
+    want = {k: s for k, _, _, s in sorted(rows[131:], key=lambda r: (1 + r[3] % 28, r[3] % 60, r[3]))}
+    assert {r["key"]: r["seq"] for r in again.recover().collect()} == want
+    assert len(again.keep_newest()) == len(listed) - len(gone) - 2 and len(again.segments()) == 2
+
+
+def test_shared_folder_is_asked_for(spark):
+    assert folders.shared_dir(spark).startswith("file:")
+
+
+def test_one_of_two_writers_wins(spark, tmp_path, rows):
+    a, b = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.flush(frame(spark, rows[:50]))
+    seen = b._last()
+    a.flush(frame(spark, rows[50:100]))
+    with pytest.raises(RuntimeError):
+        b._swap([tuple(r) for r in b.manifest()], seen)
+    assert len(a.manifest()) == 2
+    (tmp_path / "s" / "manifest" / "3").write_text("tables/half")  # a writer that ended before its version was whole
+    assert len(b.manifest()) == 2
+    (tmp_path / "s" / "manifest" / "3").unlink()
+    before = b.log()
+    a.compact()
+    assert before.count() and {r["key"] for r in log.live(before).collect()} == set(model(rows[:100]))  # old readers keep their runs
+    assert a.expire(1) and {r["key"] for r in log.live(a.log()).collect()} == set(model(rows[:100]))
+
+
 def test_store(spark, tmp_path, rows):
     store = Store(spark, f"file://{tmp_path}/s")
     assert store.get("k01") is None

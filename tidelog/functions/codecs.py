@@ -76,3 +76,13 @@ def seeded_text(length: Column, seed: Column) -> Column:
     """A text of hexadecimal digits that depends on the seed alone; up to 192 characters."""
     parts = [F.sha2(F.concat_ws(":", seed.cast("string"), F.lit(str(i))), 256) for i in range(3)]
     return F.substring(F.concat(*parts), F.lit(1), length.cast("int"))
+
+
+def trim_line(text: Column) -> Column:
+    """text without the line break at its end."""
+    return F.regexp_replace(text, "\\r?\\n$", "")
+
+
+def now_seconds() -> Column:
+    """The present time in whole Unix seconds, one value for a query."""
+    return F.unix_timestamp(F.current_timestamp())

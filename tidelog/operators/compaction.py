@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.codecs import record_size
 from .log import latest
+from .prefix_sum import ordered_sums
 
 
 def merge(runs: DataFrame, *by: str, order: tuple[str, ...] = ("ts", "seq", "run_id")) -> DataFrame:
@@ -26,9 +27,10 @@ def triggers(by_level: DataFrame, config: EngineConfig) -> DataFrame:
     return by_level.select("level", "n_runs", "bytes", (F.col("n_runs") >= config.max_tables * scale).alias("by_tables"), (F.col("bytes") >= config.max_bytes * scale).alias("by_bytes")).where(F.col("level") < config.max_levels)
 
 
-def size_tiered_plan(runs: list[tuple[int, int, int]], config: EngineConfig) -> dict[int, tuple[int, int]]:
+def size_tiered_plan(runs: list[tuple[int, int, int]], config: EngineConfig, measured=None) -> dict[int, tuple[int, int]]:
     """From (level, run_id, bytes) to run_id -> (final level, final run): pairs of neighbours move up a level, level by level
-    while one is due; an odd run stays. A merged run has the smaller id; its bytes are at most the sum."""
+    while one is due; an odd run stays. A merged run has the smaller id. `measured` gives the bytes of merged runs, from lists
+    of the runs that go into each; without it they are taken as the sums."""
     groups = {level: [] for level in range(1, config.max_levels + 1)}
     for level, run, size in sorted(runs):
         groups[level].append(([run], size))
@@ -36,20 +38,32 @@ def size_tiered_plan(runs: list[tuple[int, int, int]], config: EngineConfig) ->
         here, scale = groups[level], config.scaling_factor ** (level - 1)
         due = len(here) >= config.max_tables * scale if config.compaction_condition == "tables" else sum(s for _, s in here) >= config.max_bytes * scale
         if due:
-            pairs = len(here) // 2
-            groups[level + 1] += [(here[2 * i][0] + here[2 * i + 1][0], here[2 * i][1] + here[2 * i + 1][1]) for i in range(pairs)]
-            groups[level] = here[2 * pairs :]
+            pairs = [(here[i][0] + here[i + 1][0], here[i][1] + here[i + 1][1]) for i in range(0, len(here) - 1, 2)]
+            if measured and config.compaction_condition == "bytes" and pairs:
+                pairs = list(zip([members for members, _ in pairs], measured([members for members, _ in pairs]), strict=True))
+            groups[level + 1] += pairs
+            groups[level] = here[2 * len(pairs) :]
     return {run: (level, min(members)) for level, found in groups.items() for members, _ in found for run in members}
 
 
 def size_tiered(runs: DataFrame, config: EngineConfig) -> DataFrame:
-    """All rounds at once: every record goes straight to the run it ends in."""
-    sizes = runs.groupBy("level", "run_id").agg(F.sum(record_size(F.col("key"), F.col("value"))).alias("bytes"))
-    plan = size_tiered_plan([(r["level"], r["run_id"], r["bytes"]) for r in sizes.collect()], config)  # the manifest
-    table = runs.sparkSession.createDataFrame([(k, *v) for k, v in plan.items()], "run_id int, to_level int, to_run int")
-    moved = runs.join(table, "run_id").withColumn("old_run", F.col("run_id")).drop("level")
-    merged = merge(moved.drop("run_id"), "to_level", "to_run", order=("ts", "seq", "old_run"))
-    return merged.select("key", "value", "tombstone", "ts", "seq", F.col("to_run").alias("run_id"), F.col("to_level").alias("level"))
+    """All rounds at once: every record goes straight to the run it ends in. Where bytes decide, merged runs are measured, by
+    one aggregate for each level; else the manifest alone is read."""
+    spark, size = runs.sparkSession, record_size(F.col("key"), F.col("value"))
+
+    def into(targets: dict[int, tuple]) -> DataFrame:
+        table = spark.createDataFrame([(k, *v) for k, v in targets.items()], "of_run int, to_level int, to_run int")
+        moved = runs.join(table, F.col("run_id") == F.col("of_run")).withColumn("old_run", F.col("run_id")).drop("level", "run_id", "of_run")
+        return merge(moved, "to_level", "to_run", order=("ts", "seq", "old_run"))
+
+    def measured(groups: list[list[int]]) -> list[int]:
+        merged = into({run: (0, k) for k, members in enumerate(groups) for run in members})
+        got = {r[0]: r[1] for r in merged.groupBy("to_run").agg(F.sum(size)).collect()}  # a row for each merged run
+        return [got[k] for k in range(len(groups))]
+
+    sizes = runs.groupBy("level", "run_id").agg(F.sum(size).alias("bytes"))
+    plan = size_tiered_plan([(r["level"], r["run_id"], r["bytes"]) for r in sizes.collect()], config, measured)  # the manifest
+    return into(plan).select("key", "value", "tombstone", "ts", "seq", F.col("to_run").alias("run_id"), F.col("to_level").alias("level"))
 
 
 def one_round(runs: DataFrame, level: int) -> DataFrame:
@@ -65,34 +79,46 @@ def one_round(runs: DataFrame, level: int) -> DataFrame:
 
 def split(runs: DataFrame, most: int, *by: str) -> DataFrame:
     """Cuts sorted records into parts of about `most` bytes by running size."""
-    w = Window.partitionBy(*by).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    size = record_size(F.col("key"), F.col("value"))
-    return runs.withColumn("part", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most).cast("int"))
+    placed = ordered_sums(runs, list(by), "key", before=record_size(F.col("key"), F.col("value")))
+    return placed.withColumn("part", F.floor(F.col("before") / most).cast("int")).drop("before")
 
 
-def leveled(runs: DataFrame, config: EngineConfig, block_chars: int = 9) -> DataFrame:
+def leveled(runs: DataFrame, config: EngineConfig) -> DataFrame:
     """Leveled compaction as designed: a record of a later run replaces any earlier one of its key whatever its time; the
     result is cut into parts by running size, and parts fill level 1 up to its budget from the end of the key range, then
-    level 2 with twice the budget, and so on; the first keys are pushed down furthest. Blocks
-    of the key range (keys alike in their first block_chars characters) are summed first, so the running size needs no
-    single task."""
+    level 2 with twice the budget, and so on; the first keys are pushed down furthest."""
     merged = merge(runs, order=("run_id", "ts", "seq")).drop("level")
-    size = record_size(F.col("key"), F.col("value"))
-    block = F.substring("key", 1, block_chars)
-    sized = merged.withColumn("size", size).withColumn("__block", block)
-    totals = sized.groupBy("__block").agg(F.sum("size").alias("total"))
-    w = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("__block", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))
-    whole = totals.agg(F.sum("total")).first()[0] or 0
-    inner = Window.partitionBy("__block").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.join(bases, "__block").withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    after = F.lit(whole) - F.floor(F.col("before") / config.leveled_run_bytes) * config.leveled_run_bytes
-    level, budget = F.lit(config.max_levels), 0
-    bounds = []
+    placed = ordered_sums(merged, [], "key", before=record_size(F.col("key"), F.col("value")))
+    whole = placed.agg(F.max(F.col("before") + record_size(F.col("key"), F.col("value")))).first()[0] or 0
+    part = F.floor(F.col("before") / config.leveled_run_bytes)
+    after = F.lit(whole) - part * config.leveled_run_bytes
+    level, budgets = F.lit(config.max_levels), []
     for k in range(1, config.max_levels):
-        budget += config.leveled_base_bytes * config.scaling_factor ** (k - 1)
-        bounds.append((k, budget))
-    for k, most in reversed(bounds):
+        budgets.append((budgets[-1] if budgets else 0) + config.leveled_base_bytes * config.scaling_factor ** (k - 1))
+    for k, most in reversed(list(enumerate(budgets, 1))):
         level = F.when(after <= most, k).otherwise(level)
-    return placed.select("key", "value", "tombstone", "ts", "seq", F.floor(F.col("before") / config.leveled_run_bytes).cast("int").alias("part"), level.cast("int").alias("level"))
+    return placed.select("key", "value", "tombstone", "ts", "seq", part.cast("int").alias("part"), level.cast("int").alias("level"))
+
 
+def pushed_down(levels: DataFrame, run: DataFrame, config: EngineConfig) -> DataFrame:
+    """One arrival at the levels: `run` joins level 1, where it replaces records of its keys; level 1 is cut into parts by
+    running size, and while a level holds more than its budget its first parts go to the next level, which they join in the
+    same way. Rows have key, value, tombstone, ts, seq, part, level; a key can stand once in each level. A level above its
+    budget gives up whole parts; the last level takes all."""
+    columns = ["key", "value", "tombstone", "ts", "seq"]
+    size = record_size(F.col("key"), F.col("value"))
+    arriving, done = run.select(*columns), None
+    for level in range(1, config.max_levels + 1):
+        here = levels.where(F.col("level") == level).select(*columns)
+        joined = here.withColumn("new", F.lit(0)).union(arriving.withColumn("new", F.lit(1)))
+        merged = latest(joined, order=("new", "ts", "seq")).drop("new")
+        placed = ordered_sums(merged, [], "key", before=size).withColumn("part", F.floor(F.col("before") / config.leveled_run_bytes).cast("int")).withColumn("level", F.lit(level))
+        whole = placed.agg(F.max(F.col("before") + size)).first()[0] or 0
+        budget = config.leveled_base_bytes * config.scaling_factor ** (level - 1)
+        keep = F.lit(True) if level == config.max_levels else F.lit(whole) - F.col("part") * config.leveled_run_bytes <= budget
+        stays = placed.where(keep).select(*columns, "part", "level")
+        done = stays if done is None else done.union(stays)
+        arriving = placed.where(~keep).select(*columns)
+        if level < config.max_levels and whole <= budget:
+            return done.union(levels.where(F.col("level") > level).select(*done.columns))
+    return done

@@ -54,3 +54,10 @@ def delete(log: DataFrame, keys: DataFrame, ts: Column, seq: Column) -> DataFram
     """The log with a tombstone appended for each key."""
     gone = keys.select("key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("tombstone"), ts.cast(log.schema["ts"].dataType).alias("ts"), seq.cast("bigint").alias("seq"))
     return log.unionByName(gone.select(*log.columns))
+
+
+def delete_present(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """The latest records, those of the keys marked deleted; keys that the log doesn't hold leave no tombstone."""
+    gone = keys.select(F.col("key").alias("gone_key")).distinct()
+    marked = latest(log).join(gone, F.col("key") == F.col("gone_key"), "left")
+    return marked.withColumn("tombstone", F.col("tombstone") | F.col("gone_key").isNotNull()).select(*log.columns)

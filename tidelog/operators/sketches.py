@@ -22,14 +22,14 @@ def cms_params(epsilon: float, delta: float) -> tuple[int, int]:
     return math.ceil(math.log(math.e / delta)), math.ceil(math.e / epsilon)
 
 
-def _md5_positions(keys: DataFrame, m: int, k: int) -> DataFrame:
-    """(key, i, pos) for each of k seeded hashes."""
-    return keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")).withColumn("pos", (md5_u64(F.col("key"), F.lit(SEED_BASE) + F.col("i")) % F.lit(m).cast("decimal(20,0)")).cast("bigint"))
+def md5_positions(keys: DataFrame, m: int, k: int) -> DataFrame:
+    """keys (with a column key) with i and pos for each of k seeded hashes."""
+    return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")).withColumn("pos", (md5_u64(F.col("key"), F.lit(SEED_BASE) + F.col("i")) % F.lit(m).cast("decimal(20,0)")).cast("bigint"))
 
 
 def bloom_bits(keys: DataFrame, m: int, k: int) -> DataFrame:
     """Positions of the set bits: m rows at most."""
-    return _md5_positions(keys.select("key").distinct(), m, k).select("pos").distinct()
+    return md5_positions(keys.select("key").distinct(), m, k).select("pos").distinct()
 
 
 def _contains(positions: DataFrame, bits: DataFrame, k: int) -> DataFrame:
@@ -38,7 +38,7 @@ def _contains(positions: DataFrame, bits: DataFrame, k: int) -> DataFrame:
 
 
 def bloom_contains(probes: DataFrame, bits: DataFrame, m: int, k: int) -> DataFrame:
-    return _contains(_md5_positions(probes.select("key").distinct(), m, k), bits, k)
+    return _contains(md5_positions(probes.select("key").distinct(), m, k), bits, k)
 
 
 def fnv_positions(keys: DataFrame, size: int, k: int) -> DataFrame:
@@ -64,6 +64,11 @@ def cms_build(keys: DataFrame, m: int, k: int) -> DataFrame:
     return cms_cells(counted, m, k).groupBy("row", "bucket").agg(F.sum("n").alias("cnt"))
 
 
+def cms_reset(cells: DataFrame) -> DataFrame:
+    """The sketch emptied: its counters at zero."""
+    return cells.withColumn("cnt", F.lit(0).cast("long"))
+
+
 def cms_frequency(probes: DataFrame, cells: DataFrame, m: int, k: int) -> DataFrame:
     """(key, estimate): the least counter; never below the truth."""
     asked = cms_cells(probes.select("key").distinct().withColumn("n", F.lit(0)), m, k).drop("n")

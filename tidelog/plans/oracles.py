@@ -9,7 +9,8 @@ LOG = f"SELECT {KEY.format('user_id')} AS key, event_type || ':' || CAST(event_i
 BASE = f"""WITH log AS ({LOG}),
 latest AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM log) WHERE rn = 1),
 live AS (SELECT * FROM latest WHERE NOT tombstone)"""
-RUNS = f"""{BASE}, runs AS (SELECT * EXCLUDE rn FROM (SELECT *, CAST(day(ts) AS INTEGER) AS run_id, 1 AS level, row_number() OVER (PARTITION BY day(ts), key ORDER BY ts DESC, seq DESC) AS rn FROM log) WHERE rn = 1),
+DAY = "CAST(strftime(ts, '%Y%m%d') AS INTEGER)"
+RUNS = f"""{BASE}, runs AS (SELECT * EXCLUDE rn FROM (SELECT *, {DAY} AS run_id, 1 AS level, row_number() OVER (PARTITION BY {DAY}, key ORDER BY ts DESC, seq DESC) AS rn FROM log) WHERE rn = 1),
 placed AS (SELECT *, CAST(25 + strlen(key) + strlen(value) AS BIGINT) AS size, row_number() OVER (PARTITION BY run_id ORDER BY key) - 1 AS pos,
   CAST(32 + coalesce(sum(25 + strlen(key) + strlen(value)) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM runs)"""
 WAL = f"""{BASE}, wal AS (SELECT *, start + size AS stop FROM (SELECT *, CAST(29 + strlen(key) + strlen(value) AS BIGINT) AS size,
@@ -94,12 +95,82 @@ SELECT key, second, seq, allowed FROM run"""
 BULK = "SELECT i, 'key' || CAST(i % 100 AS VARCHAR) AS key, substr(sha256(CAST(i AS VARCHAR) || ':0') || sha256(CAST(i AS VARCHAR) || ':1') || sha256(CAST(i AS VARCHAR) || ':2'), 1, CAST(i % 100 AS BIGINT)) AS value FROM range(0, 100000) r(i)"
 
 
+SAMPLE = """SELECT run_id, key, "offset" FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM placed) WHERE pos = 0 OR pos = n - 1 OR CAST(('0x' || substr(md5(key), 1, 8)) AS BIGINT) % 100 < 49"""
+
+
+def crc32(data: str) -> str:
+    """CRC-32 of a blob, by bytes over a table that SQL makes from the polynomial."""
+    byte = f"CAST(('0x' || substr(hex({data}), CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, octet_length({data})), lambda i: {byte})), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"
+
+
+TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], range(0, 8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS v FROM range(0, 256) r(i))"
+
+
+def le64(x: str) -> str:
+    """Little-endian hexadecimal digits of a number."""
+    return " || ".join(f"lpad(hex(({x} >> {8 * i}) & 255), 2, '0')" for i in range(8))
+
+
+RECORD = f"unhex('00000000' || {le64('second')} || CASE WHEN tombstone THEN '01' ELSE '00' END || {le64('strlen(key)')} || {le64('strlen(value)')} || hex(encode(key)) || hex(encode(value)))"
+WAL_CRC = f"""WITH log AS ({LOG}), t AS ({TABLE}), r AS (SELECT seq, {RECORD} AS data FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS second FROM log))
+SELECT seq, CAST({crc32('data')} AS BIGINT) AS crc FROM r, t"""
+
+#: Rings of two memtables of two keys: by record, the distinct keys of both tables, the active one, whether a flush follows.
+RING = f"""WITH RECURSIVE log AS ({LOG}), rec AS (SELECT right(key, 1) AS store, key, row_number() OVER (PARTITION BY right(key, 1) ORDER BY seq) - 1 AS i FROM log),
+run AS (SELECT DISTINCT store, CAST(-1 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS here, CAST([] AS VARCHAR[]) AS other, false AS flushed FROM rec
+UNION ALL SELECT store, i, CASE WHEN filled THEN CASE WHEN flushed THEN CAST([] AS VARCHAR[]) ELSE other END ELSE next END, CASE WHEN filled THEN next ELSE other END, flushed
+ FROM (SELECT *, filled AND len(other) = 2 AS flushed FROM (SELECT r.store, r.i, p.other, list_distinct(list_append(p.here, r.key)) AS next, len(list_distinct(list_append(p.here, r.key))) = 2 AS filled
+  FROM run p JOIN rec r ON r.store = p.store AND r.i = p.i + 1)))
+SELECT store, row_number() OVER (PARTITION BY store ORDER BY i) - 1 AS flush, i AS at_record, CAST(2 AS BIGINT) AS n_keys FROM run WHERE flushed"""
+
+#: The log on files: two appends, segments of 200 records or 5,000 bytes of their append.
+FILES = f"""WITH log AS ({LOG}), half AS (SELECT *, seq > (SELECT max(seq) // 2 FROM log) AS second_half, CAST(29 + strlen(key) + strlen(value) AS BIGINT) AS size FROM log),
+put AS (SELECT *, row_number() OVER (PARTITION BY second_half ORDER BY seq) - 1 AS number, coalesce(sum(size) OVER (PARTITION BY second_half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin,
+  coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS whole FROM half),
+seg AS (SELECT *, dense_rank() OVER (ORDER BY second_half, number // 200 + CAST(floor(begin / 5000) AS BIGINT)) - 1 AS segment FROM put)"""
+SEGMENTS = "SELECT segment, count(*) AS n_records, min(seq) AS first_seq, CAST(sum(size) AS BIGINT) AS bytes FROM seg GROUP BY 1"
+LEVELS_10 = f"""m AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run_id DESC, ts DESC, seq DESC) AS rn FROM placed WHERE run_id <= 20240110) WHERE rn = 1),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS whole FROM m),
+lv AS (SELECT *, whole - floor(before / 1500) * 1500 AS after, CAST(floor(before / 1500) AS INTEGER) AS part FROM b),
+l0 AS (SELECT key, value, tombstone, ts, seq, size, part, CASE WHEN after <= 3000 THEN 1 WHEN after <= 9000 THEN 2 WHEN after <= 21000 THEN 3 ELSE 4 END AS level FROM lv),
+a1 AS (SELECT key, value, tombstone, ts, seq, size FROM placed WHERE run_id = 20240111)"""
+
+
+def _arrival(levels: int = 4) -> str:
+    """Levels after one arrival, unrolled: j<k> is level k with what arrives, s<k> what stays there, a<k+1> what moves on."""
+    parts = [LEVELS_10]
+    for k in range(1, levels + 1):
+        keep = "true" if k == levels else f"whole - part * 1500 <= {3000 * 2 ** (k - 1)}"
+        parts.append(f"""j{k} AS (SELECT *, CAST(floor(before / 1500) AS INTEGER) AS part FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS whole
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY new DESC, ts DESC, seq DESC) AS rn FROM (SELECT key, value, tombstone, ts, seq, size, 0 AS new FROM l0 WHERE level = {k} UNION ALL SELECT key, value, tombstone, ts, seq, size, 1 FROM a{k})) WHERE rn = 1))),
+t{k} AS (SELECT count(*) > 0 AS any_arrives FROM a{k}),
+s{k} AS (SELECT key, value, tombstone, ts, seq, part, {k} AS level FROM j{k} WHERE (SELECT any_arrives FROM t{k}) AND ({keep}) UNION ALL SELECT key, value, tombstone, ts, seq, part, level FROM l0 WHERE level = {k} AND NOT (SELECT any_arrives FROM t{k})),
+a{k + 1} AS (SELECT key, value, tombstone, ts, seq, size FROM j{k} WHERE (SELECT any_arrives FROM t{k}) AND NOT ({keep}))""")
+    return ",\n".join(parts)
+
+
+def leb(x: str) -> str:
+    """Varint of a number below 2^14, in hexadecimal digits."""
+    return f"CASE WHEN {x} < 128 THEN lpad(lower(hex({x})), 2, '0') ELSE lpad(lower(hex({x} % 128 + 128)), 2, '0') || lpad(lower(hex({x} // 128)), 2, '0') END"
+
+
+#: Whether a key is among the five last used of its cache, deleted keys not counted: by recursion over each cache's list.
+LRU_DELETES = """WITH RECURSIVE acc AS (SELECT right(key, 1) AS c, key AS k, seq AS s, tombstone AS dead, row_number() OVER (PARTITION BY right(key, 1) ORDER BY seq) AS i FROM log),
+st AS (SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS s, CAST([] AS VARCHAR[]) AS held, false AS hold FROM acc
+UNION ALL SELECT a.c, a.i, a.s, CASE WHEN a.dead THEN list_filter(p.held, lambda x: x <> a.k) ELSE list_slice(list_prepend(a.k, list_filter(p.held, lambda x: x <> a.k)), 1, 5) END, list_contains(p.held, a.k)
+ FROM st p JOIN acc a ON a.c = p.c AND a.i = p.i + 1)
+SELECT s AS seq, hold FROM st WHERE i > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     page = lambda where, size, skip: f"{BASE} SELECT key, value FROM live WHERE {where} ORDER BY key LIMIT {size} OFFSET {skip}"
     gone = f"SELECT {KEY.format('n_nationkey')} FROM nation"
     index = lambda stride: f'{RUNS} SELECT run_id, pos, key, "offset" FROM placed WHERE pos % {stride} = 0'
     pick = "key, value, tombstone, ts, seq"
-    return {
+    stored = f"{RUNS}, {_rounds()}"
+    words = lambda *x: " UNION ALL ".join(f"SELECT '{w}' AS key" for w in x)
+    found = {
         "kv_log": LOG,
         "kv_latest": f"{BASE} SELECT {pick} FROM latest",
         "kv_live": f"{BASE} SELECT {pick} FROM live",
@@ -118,12 +189,12 @@ def oracle_sql() -> dict[str, str]:
         "level_bytes": f"{RUNS} SELECT level, count(DISTINCT run_id) AS n_runs, CAST(sum(size) AS BIGINT) AS bytes FROM placed GROUP BY 1",
         "sparse_index": index(2),
         "sparse_summary": index(4),
-        "stride_summary": index(10),
-        "sample_summary": f"""{RUNS} SELECT run_id, key, "offset" FROM (SELECT *, count(*) OVER (PARTITION BY run_id) AS n FROM placed) WHERE pos = 0 OR pos = n - 1 OR CAST(('0x' || substr(md5(key), 1, 8)) AS BIGINT) % 100 < 49""",
+        "stride_summary": f"""{RUNS} SELECT run_id, key, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY key) - 1 AS ord FROM ({SAMPLE})) WHERE ord % 5 = 0""",
+        "sample_summary": f"{RUNS} {SAMPLE}",
         "block_offsets": f'{RUNS} SELECT run_id, pos, key, size, "offset" FROM placed',
-        "zone_lookup": f"""{RUNS}, probes AS (SELECT DISTINCT CAST(day(ts) AS INTEGER) AS run_id, key FROM log), heads AS (SELECT run_id, key, "offset" FROM placed WHERE pos % 4 = 0)
+        "zone_lookup": f"""{RUNS}, probes AS (SELECT DISTINCT {DAY} AS run_id, key FROM log), heads AS (SELECT run_id, key, "offset" FROM placed WHERE pos % 4 = 0)
 SELECT p.run_id, p.key, max(h.key) AS leader, max_by(h."offset", h.key) AS "offset" FROM probes p LEFT JOIN heads h ON h.run_id = p.run_id AND h.key <= p.key GROUP BY 1, 2""",
-        "merge_two_runs": f"{RUNS} SELECT {pick} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC, run_id DESC) AS rn FROM runs WHERE run_id IN (1, 2)) WHERE rn = 1",
+        "merge_two_runs": f"{RUNS} SELECT {pick} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC, run_id DESC) AS rn FROM runs WHERE run_id IN (20240101, 20240102)) WHERE rn = 1",
         "size_tiered_trigger": f"{RUNS} SELECT level, n_runs, bytes, n_runs >= 2 * pow(2, level - 1) AS by_tables, bytes >= 5000 * pow(2, level - 1) AS by_bytes FROM (SELECT level, count(DISTINCT run_id) AS n_runs, CAST(sum(size) AS BIGINT) AS bytes FROM placed GROUP BY 1) WHERE level < 4",
         "size_tiered_round": f"""{RUNS}, o AS ({ORDERED.format('runs')}), m AS (SELECT r.*, CAST(o.ord // 2 AS INTEGER) AS pair, CAST(CASE WHEN o.n % 2 = 1 AND o.ord = o.n - 1 THEN 1 ELSE 2 END AS INTEGER) AS to_level FROM runs r JOIN o USING (run_id))
 SELECT to_level, pair, {pick} FROM (SELECT *, row_number() OVER (PARTITION BY to_level, pair, key ORDER BY ts DESC, seq DESC, run_id DESC) AS rn FROM m) WHERE rn = 1""",
@@ -175,4 +246,39 @@ SELECT a.cache, a.key, a.seq, a.prev IS NOT NULL AND count(DISTINCT b.key) < 5 A
 array_to_string(list_transform(string_split(substr(md5(c_name), 1, 4), ''), lambda c: right(CAST(CAST(ascii(c) AS BIT) AS VARCHAR), 8)), '') AS bits, CASE WHEN c_custkey = 0 THEN 64 ELSE CAST(bit_count(xor(c_custkey, c_custkey - 1)) - 1 AS INTEGER) END AS zeros, 'Key' AS letters FROM (SELECT *, {fnv64('c_name')} AS h FROM customer)""",
         "stream_latest": f"{BASE} SELECT {pick} FROM latest",
         "stream_token_bucket": BUCKET,
+        "wal_crc": WAL_CRC,
+        "flush_trace": RING,
+        "kv_delete_present": f"{BASE} SELECT key, value, tombstone OR key IN (SELECT {KEY.format('n_nationkey * 10')} FROM nation) AS tombstone, ts, seq FROM latest",
+        "log_files_segments": f"{FILES} {SEGMENTS}",
+        "log_files_recover": f"{FILES} SELECT key, value, tombstone, CAST(floor(epoch(ts)) AS BIGINT) AS ts, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY floor(epoch(ts)) DESC, seq DESC) AS rn FROM seg WHERE start >= whole // 3) WHERE rn = 1",
+        "log_files_low_water": f"{FILES}, l AS ({SEGMENTS}) SELECT segment - min(segment) OVER () AS segment, n_records, first_seq, bytes FROM l WHERE segment > (SELECT max(segment) FROM l) - 2",
+        "run_lookup_chain": f"""{RUNS}, asked AS (SELECT key FROM {PROBES} UNION SELECT key FROM log)
+SELECT p.run_id, p.key, s."offset" AS summary_offset, i."offset" AS index_offset, p."offset", p.value FROM placed p JOIN placed s ON s.run_id = p.run_id AND s.pos = p.pos - p.pos % 4 JOIN placed i ON i.run_id = p.run_id AND i.pos = p.pos - p.pos % 2
+WHERE NOT p.tombstone AND p.key IN (SELECT key FROM asked)""",
+        "compressed_run": f"""{RUNS}, codes AS (SELECT key, row_number() OVER (ORDER BY min(seq)) - 1 AS code FROM log GROUP BY key),
+r AS (SELECT run_id, key, code, CAST(1 AS INTEGER) AS size_bytes, {leb('code')} || {leb('strlen(value)')} || lower(hex(encode(value))) AS record_hex FROM runs JOIN codes USING (key) WHERE NOT tombstone)
+SELECT run_id, code, size_bytes, record_hex, CAST(32 + coalesce(sum(len(record_hex) // 2) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r""",
+        "saved_fingerprints": fingerprint("documents", "doc_id"),
+        "saved_merkle_verify": f"{RUNS} SELECT DISTINCT run_id, run_id % 2 = 1 AS ok FROM runs",
+        "cms_reset": f"SELECT row, bucket, CAST(0 AS BIGINT) AS cnt FROM ({CMS})",
+        "level_runs": f"{stored} SELECT CAST(lvl AS INTEGER) AS level, CAST(dst AS INTEGER) AS run_id, count(DISTINCT key) AS n_rows FROM runs JOIN g3 ON src = run_id GROUP BY 1, 2",
+        "leveled_arrival": f"{RUNS}, {_arrival()} " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, 5)),
+        "lru_delete_trace": f"""{BASE}, a AS (SELECT right(key, 1) AS cache, key, seq, tombstone, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, lag(tombstone) OVER (PARTITION BY key ORDER BY seq) AS prev_dead FROM log),
+v AS (SELECT a.*, NOT a.tombstone AND a.prev IS NOT NULL AND NOT a.prev_dead AS may FROM a)
+SELECT cache, key, seq, tombstone, may AND hold AS hit FROM v JOIN ({LRU_DELETES}) h USING (seq)""",
+        "lru_find_value": f"""{BASE} SELECT cache, key, value, seq, rank FROM (SELECT right(key, 1) AS cache, key, value, seq, CAST(row_number() OVER (PARTITION BY right(key, 1) ORDER BY seq DESC) AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1) WHERE rank <= 5 AND starts_with(value, 'purchase')""",
+        "shuffled_keys": f"{BASE} SELECT key, row_number() OVER (ORDER BY md5('42:' || key)) - 1 AS place FROM (SELECT DISTINCT key FROM log)",
+        "trimmed_lines": f"WITH log AS ({LOG}) SELECT seq, value AS line FROM log",
+        "demo_frequency": f"""WITH k AS (SELECT CASE WHEN i < 1000 THEN substr(sha256(CAST(i AS VARCHAR) || ':0'), 1, 16) ELSE 'frequent-key' END AS key FROM range(0, 2000) r(i)),
+c AS (SELECT key, j, CAST({u64('key', '1234 + j')} % 55 AS BIGINT) AS bucket FROM k, range(0, 6) r(j)), n AS (SELECT j, bucket, count(*) AS cnt FROM c GROUP BY 1, 2)
+SELECT key, min(cnt) AS estimate FROM (SELECT DISTINCT key, j, bucket FROM c WHERE key = 'frequent-key') JOIN n USING (j, bucket) GROUP BY 1""",
+        "demo_cache": """WITH a AS (SELECT 'c' AS cache, substr(md5(CAST(i AS VARCHAR)), 1, 1) AS key, i AS seq FROM range(0, 40) r(i)), b AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev FROM a)
+SELECT b.cache, b.key, b.seq, b.prev IS NOT NULL AND count(DISTINCT o.key) < 10 AS hit FROM b LEFT JOIN a o ON o.seq > b.prev AND o.seq < b.seq GROUP BY b.cache, b.key, b.seq, b.prev""",
+        "demo_filter": f"""WITH k AS ({words('alder', 'birch', 'cedar')}), p AS ({words('alder', 'birch', 'cedar', 'orange', 'willow')}), bits AS (SELECT DISTINCT xor({fnv32('key')}, CAST(i AS HUGEINT)) % 20 AS pos FROM k, range(0, 3) r(i))
+SELECT key, bool_and(pos IN (SELECT pos FROM bits)) AS maybe FROM (SELECT key, xor({fnv32('key')}, CAST(i AS HUGEINT)) % 20 AS pos FROM p, range(0, 3) r(i)) GROUP BY 1""",
+        "demo_fingerprint": f"""WITH names AS (SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'Ada River'), (2, 'Bea River'), (3, 'Cal Stone')) t(id, text)), f AS ({fingerprint('names', 'id')})
+SELECT a.id, b.id AS other, CAST(bit_count(xor(CAST(a.fingerprint AS BIT), CAST(b.fingerprint AS BIT))) AS INTEGER) AS distance FROM f a JOIN f b ON a.id < b.id""",
+        "demo_dictionary": "SELECT i, key, code FROM (VALUES (CAST(0 AS BIGINT), 'k1', CAST(0 AS BIGINT)), (1, 'k2', 1), (2, 'k3', 2), (3, 'k1', 0), (4, 'k2', 1)) t(i, key, code)",
     }
+    same = {"saved_cms_frequency": "cms_frequency", "saved_hll_estimate": "hll_estimate", "saved_bloom_contains": "bloom_contains", "saved_dictionary": "dict_encode"}
+    return found | {name: found[of] for name, of in same.items()}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.log import from_events
+from ..operators.log import from_events, latest
 from ..operators.stateful import allow
+from ..sources.folders import new_folder
 
 
 def event_stream(spark, path: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -45,8 +46,23 @@ def token_bucket_stream(requests: DataFrame, rate: int, most: int, ttl_seconds:
     return requests.groupBy("key").applyInPandasWithState(run, "key string, second long, seq long, allowed boolean", "last long, tokens long", "append", timeout)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result, from memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns what it wrote: each micro-batch is a folder of Parquet files, written again
+    whole if its batch is repeated; progress is kept beside them. With mode "update" a row stands for each change."""
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
+
+
+def settled(updates: DataFrame, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """The last state of every key in the changes that a stream wrote."""
+    return latest(updates, order=order)
