@@ -2,9 +2,10 @@
 
 Candidates are all matches of the base patterns (valid or not) and of looser ones. Four labelers vote on each: the kind's
 own rule, a gazetteer, the words before it, and its borders. Votes and features are counted over the whole corpus (a bounded
-number of codes); expectation-maximisation over the counted votes estimates each labeler's reliability for each class and a
-soft label for each code; a logistic classifier over the span's features is trained on the soft labels. It decides on the
-candidates that aren't base spans; base spans always stay. Both fits are higher-order functions over one array for each kind.
+number of codes); expectation-maximisation over the counted votes estimates each labeler's reliability for each class, of the
+votes that it doesn't abstain from, and a soft label for each code; a logistic classifier over features of the span itself
+(its form and checksum, what stands right before it) is trained on the soft labels. It decides on the candidates that aren't base spans; base spans always
+stay. Both fits are higher-order functions over one array for each kind.
 
 Base spans, leftmost and non-overlapping for each kind: email, ip (parts to 255), card (14 to 19 digits, Luhn), phone (10 to
 15 digits). Offsets are code points, the end exclusive. Null counts as empty; equal rows give equal results; extra columns
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import private, quoted
+
 KINDS = ["email", "ip", "card", "phone"]
 #: The contract's patterns; possessive, and anchored to where a run begins, so that matching takes linear time.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++"
@@ -81,7 +84,8 @@ def _votes(kind: int, text: Column, c: Column, loose: bool) -> tuple[list[Column
     cue = _vote(before.rlike(CUES[kind]), before.rlike(AGAINST))
     border = _vote(~around.rlike(r"[\p{L}\p{N}_@/=]"))
     votes = [rule, listed, cue, border]
-    bits = [F.lit(loose), rule == 2, listed == 2, cue == 2, border == 2, F.length(_digits(m)) >= 10]
+    marks = F.length(F.regexp_replace(m, r"[^\x20().-]", ""))
+    bits = [F.lit(loose), _valid(kind, m), F.length(_digits(m)) >= 10, marks >= 2, m.rlike(r"^[+(]"), before.rlike(r"[:=]\x20?$")]
     return votes, bits
 
 
@@ -115,19 +119,22 @@ def _posterior(p: Column, q: Column) -> Column:
 
     def rates(x):
         mass = lambda name: F.aggregate(x, F.lit(0.0), lambda a, y: a + y[name])
+        # by labeler and vote: a third of a labeler's places are abstentions, which are no evidence
+        cell = lambda name, i: F.aggregate(x, F.lit(0.5), lambda a, y: a + F.when(F.floor(y["votes"] / F.pow(F.lit(float(VALUES)), F.floor(i / VALUES))) % VALUES == i % VALUES, y[name]).otherwise(0.0))
+        cells = F.transform(F.sequence(F.lit(0), F.lit(LABELERS * VALUES - 1)), lambda i: F.struct(cell("yes", i).alias("yes"), cell("no", i).alias("no")))
 
         def table(t):
-            cell = lambda name, i: F.aggregate(x, F.lit(0.5), lambda a, y: a + F.when(F.floor(y["votes"] / F.pow(F.lit(float(VALUES)), F.floor(i / VALUES))) % VALUES == i % VALUES, y[name]).otherwise(0.0))
-            both = F.transform(F.sequence(F.lit(0), F.lit(LABELERS * VALUES - 1)), lambda i: F.log(cell("yes", i) / (t["yes"] + 1.5)) - F.log(cell("no", i) / (t["no"] + 1.5)))
+            share = lambda c, i, name: c[i][name] / (c[i - i % VALUES][name] + c[i - i % VALUES + 2][name])
+            lift = lambda c: F.transform(F.sequence(F.lit(0), F.lit(LABELERS * VALUES - 1)), lambda i: F.when(i % VALUES == 1, 0.0).otherwise(F.log(share(c, i, "yes")) - F.log(share(c, i, "no"))))
             prior = F.log((t["yes"] + 1.0) / (t["no"] + 1.0))
 
             def label(r):
                 odds = lambda y: sum((r["lift"][(F.floor(y["votes"] / VALUES**j) % VALUES + j * VALUES).cast("int")] for j in range(LABELERS)), r["prior"])
                 return F.transform(p, lambda y: 1 / (1 + F.exp(-odds(y))))
 
-            return let(F.struct(both.alias("lift"), prior.alias("prior")), label)
+            return let(F.struct(let(t["cells"], lift).alias("lift"), prior.alias("prior")), label)
 
-        return let(F.struct(mass("yes").alias("yes"), mass("no").alias("no")), table)
+        return let(F.struct(mass("yes").alias("yes"), mass("no").alias("no"), cells.alias("cells")), table)
 
     return let(labels, rates)
 
@@ -159,14 +166,15 @@ def classifier(p: Column, q: Column, steps: int = 80, rate: float = 2.0) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array_repeat(F.lit(0.0), FEATURES + 1), step)
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("__found", candidates(F.coalesce(F.col(text_col), F.lit(""))))
+def with_candidates(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    return docs.withColumn(name, candidates(F.coalesce(quoted(text_col), F.lit(""))))
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k, labelled: the counted codes with their soft labels, weights, accept: the decision by feature code), at most a
     row for each kind."""
-    counts = with_candidates(docs.select(text_col), text_col).select(F.explode("__found").alias("c")).groupBy("c.k", "c.votes", "c.feats").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    found = with_candidates(docs.select(quoted(text_col).alias("text")), "text", "found")
+    counts = found.select(F.explode("found").alias("c")).groupBy("c.k", "c.votes", "c.feats").agg(F.count(F.lit(1)).cast("double").alias("n"))
     # at most VALUES^LABELERS * 2^FEATURES codes of a kind
     by_kind = counts.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("votes", "feats", "n"))).alias("p"))
     fitted = by_kind.withColumn("q", soft_labels(F.col("p"))).withColumn("weights", classifier(F.col("p"), F.col("q")))
@@ -174,13 +182,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return fitted.select("k", F.arrays_zip("p", "q").alias("labelled"), "weights", accept.alias("accept"))
 
 
-def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __spans array<struct<s, k, e, base>>, by start, then kind."""
+def spans(docs: DataFrame, text_col: str = "text", name: str = "spans") -> DataFrame:
+    """docs with array<struct<s, k, e, base>> under that name, by start, then kind."""
     accept = {r["k"]: r["accept"] for r in fit(docs, text_col).select("k", "accept").collect()}  # 4 x 64 booleans
     table = F.lit([bool(x) for k in range(len(KINDS)) for x in accept.get(k, [False] * 2**FEATURES)])
-    kept = F.filter("__found", lambda c: c["base"] | table[c["k"] * 2**FEATURES + c["feats"]])
+    (found,) = private([*docs.columns, name], "found")
+    kept = F.filter(found, lambda c: c["base"] | table[c["k"] * 2**FEATURES + c["feats"]])
     ordered = F.array_sort(F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["base"].alias("base"))))
-    return with_candidates(docs, text_col).withColumn("__spans", ordered).drop("__found")
+    return with_candidates(docs, text_col, found).withColumn(name, ordered).drop(found)
 
 
 def listed(found: Column) -> Column:
@@ -190,15 +199,17 @@ def listed(found: Column) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)."""
-    base = F.filter("__spans", lambda c: c["base"])
-    of_kind = lambda k: F.size(F.filter("__spans", lambda c: c["base"] & (c["k"] == k)))
+    base = F.filter("spans", lambda c: c["base"])
+    of_kind = lambda k: F.size(F.filter("spans", lambda c: c["base"] & (c["k"] == k)))
     counts = [of_kind(k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return spans(docs.select(id_col, text_col), text_col).select(F.col(id_col).cast("long").alias("doc_id"), *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
+    rows = spans(docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text")))
+    return rows.select("doc_id", *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by [EMAIL], [IP], [CARD] or [PHONE]; overlapping spans become one."""
-    text, names = F.col(text_col), F.lit([f"[{k.upper()}]" for k in KINDS])
+    (found,) = private(docs.columns, "spans")
+    text, names = quoted(text_col), F.lit([f"[{k.upper()}]" for k in KINDS])
 
     def step(a, c):
         fresh = c["s"] >= a["at"]
@@ -206,5 +217,5 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.greatest(a["at"], c["e"]).alias("at"), F.when(fresh, F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    whole = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return spans(docs, text_col).withColumn(text_col, F.when(text.isNull() | (F.size("__spans") == 0), text).otherwise(whole)).drop("__spans")
+    whole = F.aggregate(found, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return spans(docs, text_col, found).withColumn(text_col, F.when(text.isNull() | (F.size(found) == 0), text).otherwise(whole)).drop(found)
