@@ -150,6 +150,59 @@ def test_masking(spark):
     assert pii.report(docs(spark, [])).count() == 0
 
 
+def _odds(codes, q):
+    """One round of expectation-maximisation by plain sums: soft labels of (votes, feats, n) from soft labels."""
+    mass = [sum(n * w for (_, _, n), w in zip(codes, q, strict=True)), sum(n * (1 - w) for (_, _, n), w in zip(codes, q, strict=True))]
+    digits = lambda v: [v // 3**j % 3 for j in range(4)]
+    cell = [[[0.5] * 3 for _ in range(4)] for _ in range(2)]
+    for (v, _, n), w in zip(codes, q, strict=True):
+        for j, x in enumerate(digits(v)):
+            cell[0][j][x] += n * w
+            cell[1][j][x] += n * (1 - w)
+    out = []
+    for v, _, _ in codes:
+        odds = math.log((mass[0] + 1) / (mass[1] + 1))
+        for j, x in enumerate(digits(v)):
+            if x != 1:  # an abstention
+                odds += math.log(cell[0][j][x] / (cell[0][j][0] + cell[0][j][2])) - math.log(cell[1][j][x] / (cell[1][j][0] + cell[1][j][2]))
+        out.append(1 / (1 + math.exp(-odds)))
+    return out
+
+
+def test_expectation_maximisation_and_classifier(spark):
+    """Soft labels and weights against plain sums and gradient steps."""
+    rng = random.Random(8)
+    codes = sorted({(rng.randrange(81), rng.randrange(64)): float(rng.randrange(1, 50)) for _ in range(12)}.items())
+    codes = [(v, f, n) for (v, f), n in codes]
+    df = spark.createDataFrame([([(v, f, n) for v, f, n in codes],)], "p array<struct<votes: int, feats: int, n: double>>")
+    got = df.withColumn("q", pii.soft_labels(F.col("p"))).withColumn("w", pii.classifier(F.col("p"), F.col("q"))).first()
+    q = [min(max(sum(v // 3**j % 3 for j in range(4)) / 8, 0.05), 0.95) for v, _, _ in codes]
+    for _ in range(15):
+        q = _odds(codes, q)
+    assert got["q"] == pytest.approx(q, abs=1e-9)
+    w, total = [0.0] * 7, 1 + sum(n for *_, n in codes)
+    for _ in range(80):
+        margin = [sum(w[i] * (f >> i & 1) for i in range(6)) + w[6] for _, f, _ in codes]
+        r = [n * (x - 1 / (1 + math.exp(-m))) for (_, _, n), x, m in zip(codes, q, margin, strict=True)]
+        pull = [sum(e * (f >> i & 1) for e, (_, f, _) in zip(r, codes, strict=True)) for i in range(6)] + [sum(r)]
+        w = [a * 0.999 + 2.0 * p / total for a, p in zip(w, pull, strict=True)]
+    assert got["w"] == pytest.approx(w, abs=1e-9)
+
+
+def test_the_method_adds_spans(spark):
+    """A number that no base pattern takes is found by what the labelers agree on elsewhere; base spans stay as they are."""
+    rows = [(i, f"please call or phone 202-555-0{100 + i} today, my tel. +1 202 555 0{100 + i}") for i in range(60)]
+    rows += [(100 + i, f"version no. 555.123.{4000 + i}/7 of the order") for i in range(20)] + [(500, "write to ann [at] example [dot] com")]
+    clash = docs(spark, rows, "doc_id long, text string, spans string, found string, n string")
+    got = {r["doc_id"]: r for r in pii.report(clash).collect()}
+    added = [x for i in range(60) for x in got[i]["spans"].split(",") if x.startswith("phone:") and x not in base(rows[i][1])]
+    assert len(added) == 60 and added[0] == "phone:21:33"
+    for i, t in rows:
+        assert set(base(t)) <= set(got[i]["spans"].split(",")) | {""} and got[i]["base_sha256"] == hashlib.sha256(",".join(base(t)).encode()).hexdigest()
+    masked = {r["doc_id"]: r for r in pii.masked(clash).collect()}
+    assert masked[0]["text"] == "please call or phone [PHONE] today, my tel. [PHONE]" and masked[0]["spans"] == "s"
+
+
 def test_fit_learns_the_labelers(spark):
     rows = [(i, f"call {i} at 202-555-01{i:02d} or +1 202 555 01{i:02d}, card 4111 1111 1111 1111") for i in range(20)] + [(100 + i, f"order id {i}4111111111111112 version 1.2.3.999") for i in range(20)]
     fitted = {r["k"]: r for r in pii.fit(docs(spark, rows)).collect()}

@@ -310,7 +310,8 @@ class Join:
                     keep = signatures(words_of(part.column("text"))) == part.column("sig").to_numpy()
                     yield part.filter(pa.array(keep, pa.bool_()))
 
-        texts = self.docs.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).select("sig", "text").mapInArrow(lean(same), "sig long, text string")
+        # tables that grow with the input are never broadcast, however small they are now
+        texts = self.docs.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).select("sig", "text").mapInArrow(lean(same), "sig long, text string")
         texts = written(texts.dropDuplicates(["sig"]), f"{name}-texts")
         side = lambda x: texts.select(F.col("sig").alias(x), F.col("text").alias(f"text_{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
@@ -371,10 +372,10 @@ def distinct(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     gone = join.rows.where("n > 0").join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.col("sig") == F.col("keep_sig")), "left_anti").select("doc_id")
     out, sig, words, keep_id, keep_sig, row = private(names, "gone", "sig", "words", "keep_id", "keep_sig", "row")
     own = quoted(id_col).cast("long")
-    once = docs.join(written(gone.union(many).distinct(), "gone").select(F.col("doc_id").alias(out)), own.eqNullSafe(F.col(out)), "left_anti")
+    once = docs.join(written(gone.union(many).distinct(), "gone").select(F.col("doc_id").alias(out)).hint("merge"), own.eqNullSafe(F.col(out)), "left_anti")
     if many.isEmpty():
         return once
-    shared = docs.join(many.select(F.col("doc_id").alias(out)), own.eqNullSafe(F.col(out)), "left_semi")
+    shared = docs.join(many.select(F.col("doc_id").alias(out)).hint("merge"), own.eqNullSafe(F.col(out)), "left_semi")
 
     def signed(batches):
         for batch in batches:

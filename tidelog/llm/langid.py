@@ -214,13 +214,14 @@ def train(docs: DataFrame, max_documents: int = 20_000, min_count: int = 3, id_c
     return model_of(rows(counts.where(F.col("n") >= min_count), "lang", "word"), rows(grams, "lang", "gram"), totals)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", mean: bool = False) -> DataFrame:
-    """docs with lang_pred and score; with `mean`, also mean_score, the best language's score for each character."""
-    own = ["lang_pred", "score", *["mean_score"] * mean]
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", result: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its posterior under the names of `result`; a third name, if given, is that of the best
+    language's score for each character."""
+    own, mean = list(result), len(result) > 2
     names = without(docs.columns, own, [text_col])
     columns = [quoted(x) for x in names]
     if model is None:
-        return docs.select(*columns, F.lit("und").alias("lang_pred"), *(F.lit(0.0).alias(x) for x in own[1:]))
+        return docs.select(*columns, F.lit("und").alias(own[0]), *(F.lit(0.0).alias(x) for x in own[1:]))
     low, letter = private(names, "lowered", "letter")
     sent = spark_model(docs, model)
 
@@ -235,7 +236,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", mean:
                 cols = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(has, np.array(m.langs, object)[best], "und"), pa.string()), pa.array(np.where(has, share, 0.0)), *[pa.array(scores.max(1) / np.maximum(length, 1))] * mean], names=[*names, *own])
 
-    schema = ddl(docs.schema, names) + ", lang_pred string, score double" + ", mean_score double" * mean
+    schema = ", ".join([ddl(docs.schema, names), *(f"`{x}` {kind}" for x, kind in zip(own, ("string", "double", "double"), strict=False))])
     text = quoted(text_col)
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     return docs.select(*columns, F.coalesce(F.lower(text), F.lit("")).alias(low), has_letter.alias(letter)).mapInArrow(lean(run), schema)

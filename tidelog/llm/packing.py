@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import trimmed, written
 from .tokens import encoder
 from .words import slices
 
@@ -59,7 +59,7 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return written(rows.mapInArrow(run, PIECES), "pieces")
+    return written(rows.mapInArrow(trimmed(run), PIECES), "pieces")
 
 
 def price_table(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,4 +233,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     # a row for each length of each partition: grows with the input, so it is never broadcast
     placed = rows.join(written(bases, "bases").hint("merge"), (F.col("part") == F.col("of_part")) & (F.col("length") == F.col("of_length")))
     ranked = placed.select(*PLACED, (F.col("base") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(_placed(sent), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(_placed(sent)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

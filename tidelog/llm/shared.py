@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir. Only where the session has none (tests on
-    one machine) a temporary folder is made and kept in the session."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine that has none
+    (tests) gets a temporary folder, kept in the session; on a cluster that is an error."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidelog.shared.dir", None)
     if not got:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("tidelog.shared.dir", got)
         spark.sparkContext.setCheckpointDir(got)
@@ -112,6 +114,16 @@ def lean(run):
     return task
 
 
+def trimmed(run):
+    """run for mapInArrow; freed memory goes back at the task's end."""
+
+    def task(batches):
+        yield from run(batches)
+        _trim()
+
+    return task
+
+
 def _trim() -> None:
     import pyarrow as pa
 

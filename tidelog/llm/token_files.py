@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import coder
-from .shared import file_system, new_folder, shuffle_partitions, written
+from .shared import file_system, new_folder, shuffle_partitions, trimmed, written
 from .tokens import encoder
 from .words import slices
 
@@ -120,7 +120,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     ranged = rows.repartitionByRange(max(shuffle_partitions(spark), 1), *order).sortWithinPartitions(*order, "text")
-    groups = ranged.mapInArrow(_groups(tokenizer, file_ids, file_docs), GROUPS)
+    groups = ranged.mapInArrow(trimmed(_groups(tokenizer, file_ids, file_docs)), GROUPS)
     coded = groups.withColumn("ids", coder.encoded(spark, F.col("ids")))
     return written(coded.mapInArrow(_write(folder), MANIFEST), "token-manifest")
 
@@ -193,7 +193,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
     placed = written(manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")), "token-bases")
     files = placed.repartition(max(1, min(placed.count(), 1 << 14)))
     blocks = files.mapInArrow(_open, BLOCKS).withColumn("blocks", coder.decoded(manifest.sparkSession, F.col("blocks")))
-    return blocks.mapInArrow(_documents, RESULT)
+    return blocks.mapInArrow(trimmed(_documents), RESULT)
 
 
 def encoded(docs: DataFrame, **options) -> DataFrame:

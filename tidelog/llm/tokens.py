@@ -24,7 +24,7 @@ from .words import _bytes, _mix, text_bytes
 END = 0
 _U = np.uint64
 #: Slots of a worker's table of units; it starts anew when half of them are taken.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Units of more bytes aren't kept.
 LONGEST = 256
 
