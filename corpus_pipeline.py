@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, jaccard, langid, packing, pii
-from tidelog.llm.shared import new_folder
+from tidelog.llm.shared import new_folder, private
 
 #: A posterior below this is a text without one language.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -17,29 +17,33 @@ LEAST_MEAN_SCORE = -4.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose words and characters are not like a learned language's, or of no one language for sure, go."""
-    found = langid.predict(docs, langid.train(docs), mean=True)
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE) & (F.col("mean_score") >= LEAST_MEAN_SCORE)
-    return found.where(sure).select(*docs.columns)
+    """Texts whose words and characters are not like a learned language's, or of no one language for sure, go; null, empty and
+    letterless ones too, and all if no text has a language to learn."""
+    lang, score, mean = private(docs.columns, "lang_pred", "score", "mean_score")
+    found = langid.predict(docs, langid.train(docs), result=(lang, score, mean))
+    sure = (F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE) & (F.col(mean) >= LEAST_MEAN_SCORE)
+    return found.where(sure).drop(lang, score, mean)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies stays: that with the least identifier. Rows may share an identifier or have none."""
+    """One row of each class of near copies stays: that with the least identifier (rows without one last; then by the words'
+    hash, then by all columns). Rows may share an identifier; rows without words all stay."""
     return jaccard.distinct(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row decided on its own; null and empty texts stay, and all if the benchmark
+    is empty."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked in the texts; n_chars follows."""
+    """Personal data is masked in the texts; n_chars follows (null for a null text). All rows stay."""
     return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 token ids and their places in sequences."""
+    """Pieces of at most 2048 token ids and their places in sequences, for every row; a null text is an empty one."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
