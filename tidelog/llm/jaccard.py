@@ -35,7 +35,7 @@ POSTING = np.dtype([("h", "<u8"), ("g", "<i8"), ("n", "<i4")])
 MEMBER = np.dtype([("g", "<i8"), ("n", "<i4")])
 MAP_WORDS = 16
 #: Postings that a task packs at once; bounds a worker's memory.
-POSTINGS = 1 << 20
+POSTINGS = 1 << 19
 #: Set members that stand for one bucket of lists, about a quarter of which are posted.
 BUCKET = 1 << 22
 #: Texts of a list that meet in one task.
@@ -233,7 +233,8 @@ def _across(percent: int, best: bool):
             ok = (100 + percent) * (total - apart) >= 2 * percent * total
             j, apart = j[ok], apart[ok]
             if len(j):
-                out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), apart, np.minimum(g[i], g[j]), np.maximum(g[i], g[j])], 1))
+                pair = [np.minimum(g[i], g[j]), np.maximum(g[i], g[j])]
+                out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), apart, *pair] if best else pair, 1))
                 size += len(j)
             if best and size > 1 << 18:
                 out = [_nearest(np.concatenate(out))]
@@ -241,7 +242,7 @@ def _across(percent: int, best: bool):
         if not out:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         found = np.concatenate(out)
-        pairs = _nearest(found)[:, 3:] if best else np.unique(found[:, 3:], axis=0)
+        pairs = _nearest(found)[:, 3:] if best else found
         return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
     return run
@@ -250,7 +251,7 @@ def _across(percent: int, best: bool):
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text_a", 2 << 20):
+            for part in slices(batch, "text_a", 1 << 18):
                 sets = [shingles_of(words_of(part.column(c)), SIZE) for c in ("text_a", "text_b")]
                 good = [linked(x, y, percent) for x, y in zip(*sets, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))

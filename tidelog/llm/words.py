@@ -135,7 +135,7 @@ def shingles_of(w: Words, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """The batch in runs of rows whose texts hold about so many bytes, to bound the memory of what is made from them."""
     sizes = np.diff(text_bytes(batch.column(column))[1])
     at = np.concatenate([[0], np.cumsum(sizes)])
