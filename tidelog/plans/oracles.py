@@ -124,11 +124,11 @@ UNION ALL SELECT store, i, CASE WHEN filled THEN CASE WHEN flushed THEN CAST([]
   FROM run p JOIN rec r ON r.store = p.store AND r.i = p.i + 1)))
 SELECT store, row_number() OVER (PARTITION BY store ORDER BY i) - 1 AS flush, i AS at_record, CAST(2 AS BIGINT) AS n_keys FROM run WHERE flushed"""
 
-#: The log on files: two appends, segments of 200 records or 5,000 bytes of their append.
+#: The log on files: two appends, segments of 1,000 records or 40,000 bytes of their append.
 FILES = f"""WITH log AS ({LOG}), half AS (SELECT *, seq > (SELECT max(seq) // 2 FROM log) AS second_half, CAST(29 + strlen(key) + strlen(value) AS BIGINT) AS size FROM log),
 put AS (SELECT *, row_number() OVER (PARTITION BY second_half ORDER BY seq) - 1 AS number, coalesce(sum(size) OVER (PARTITION BY second_half ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin,
   coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS whole FROM half),
-seg AS (SELECT *, dense_rank() OVER (ORDER BY second_half, number // 200 + CAST(floor(begin / 5000) AS BIGINT)) - 1 AS segment FROM put)"""
+seg AS (SELECT *, dense_rank() OVER (ORDER BY second_half, number // 1000 + CAST(floor(begin / 40000) AS BIGINT)) - 1 AS segment FROM put)"""
 SEGMENTS = "SELECT segment, count(*) AS n_records, min(seq) AS first_seq, CAST(sum(size) AS BIGINT) AS bytes FROM seg GROUP BY 1"
 LEVELS_10 = f"""m AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run_id DESC, ts DESC, seq DESC) AS rn FROM placed WHERE run_id <= 20240110) WHERE rn = 1),
 b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS whole FROM m),

@@ -334,7 +334,7 @@ def kv_delete_present(s, d):
 
 def _log_files(s, d) -> wal_files.LogFiles:
     """A log on files of the events, appended in two parts."""
-    files = wal_files.LogFiles(s, new_folder(s, "log"), EngineConfig(wal_segment_records=200, wal_segment_bytes=5_000))
+    files = wal_files.LogFiles(s, new_folder(s, "log"), EngineConfig(wal_segment_records=1_000, wal_segment_bytes=40_000))
     records = wal.seconds(_log(s, d))
     half = records.agg(F.max("seq")).first()[0] // 2
     files.append(records.where(F.col("seq") <= half))

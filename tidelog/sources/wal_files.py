@@ -110,4 +110,4 @@ class LogFiles:
 def listing(rows: DataFrame) -> DataFrame:
     """(segment, n_records, first_seq, bytes), in order of segments."""
     by = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n_records"), F.min("seq").alias("first_seq"), F.sum(F.octet_length("record").cast("long")).alias("bytes"))
-    return by.withColumn("segment", F.row_number().over(Window.orderBy("segment")) - 1)  # over a row for each segment
+    return by.withColumn("segment", (F.row_number().over(Window.orderBy("segment")) - 1).cast("long"))  # over a row for each segment
